@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, quality_classifier, quality_rules, sentencepiece_bpe
+from . import chat, decontamination, html_extract, license_scan, near_dedup, quality_classifier, quality_rules, sentencepiece_bpe, toxicity, url_filter
 from .common import table
 
 
@@ -16,18 +16,34 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.query(table(spark, sf_dir, "conversations"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.query(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.query(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,10 +52,23 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.query(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op4_sentencepiece, op6_decontamination, op8_quality_classifier, op9_near_dedup)
+    found = (
+        op1_toxicity, op2_quality_rules, op3_chat_formatting, op4_sentencepiece, op5_url_filter, op6_decontamination, op7_html_extraction,
+        op8_quality_classifier, op9_near_dedup, op10_license_scan,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op6_decontamination": decontamination.ORACLE}
+    return {
+        "op2_quality_rules": quality_rules.ORACLE,
+        "op3_chat_formatting": chat.oracle(),
+        "op5_url_filter": url_filter.oracle(),
+        "op6_decontamination": decontamination.ORACLE,
+        "op10_license_scan": license_scan.oracle(),
+    }
