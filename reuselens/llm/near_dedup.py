@@ -192,7 +192,8 @@ def near_links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int,
     )
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     size = bands * rows
-    work = dealt.join(texts, "doc_id").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q", "doc_id")
+    # the same join at every size: the members grow with the input, so they must not count on being broadcast
+    work = dealt.join(texts.hint("merge"), "doc_id").repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q", "doc_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, ids, sets, side = None, [], [], []
