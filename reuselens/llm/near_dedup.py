@@ -41,7 +41,7 @@ BANDS, ROWS = 32, 7
 #: Hashes compared at a time, and the probability with which a pair at the threshold may be pruned in all batches together.
 BATCH, MISS = 32, 1e-6
 #: A block's members and shingles, at most on average.
-BLOCK_DOCS, BLOCK_SHINGLES = 384, 2_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 192, 2_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
