@@ -1,6 +1,7 @@
 """Toxicity: a weighted lexicon matched by an Aho-Corasick automaton over folded text.
 
-Folding lower-cases, maps homoglyphs (look-alike letters of other scripts, accents, styled letters) and digit or symbol
+Folding lower-cases, maps homoglyphs (look-alike letters of other scripts, rare accents, styled letters; the common accents of
+Latin-1 tell words apart and stay) and digit or symbol
 substitutions to Latin letters, gives i and l one form (1 stands for both), and turns punctuation into blanks. Lexicon entries
 are whole words or word beginnings; exception phrases cancel the entries inside them. The weights of the matches, divided
 by the text's length in words, give the score through a logistic curve.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TRAIN_ROWS, held_out, training_rows
+from .common import TRAIN_ROWS, held_out, staged, training_rows
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 #: Seeds: entry and weight. A trailing * marks the beginning of a word.
@@ -53,15 +55,20 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 SYMBOLS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 # ------------------------------------------------------------------------------------------------------------------
 
-#: Lengths of word beginnings that are learnt; least support; least logarithm of the odds ratio; entries brought to the driver.
-STEMS, SUPPORT, ODDS, CANDIDATES = range(4, 9), 5, 3.0, 20_000
+#: Lengths of word beginnings that are learnt; least support, in rows and as a share of the toxic ones; least logarithm of the
+#: odds ratio; entries brought to the driver.
+STEMS, SUPPORT, SHARE, ODDS, CANDIDATES = range(4, 9), 5, 0.005, 3.0, 20_000
+#: Toxic rows that an entry must bring for each other row that it hits.
+COST = 20
+#: Entries that a toxic training row needs before more entries are of no use to it.
+DEMAND = 2
 #: Texts are as long as this at least, in words, for the density.
 SHORTEST = 20
 
 
 def _table() -> dict[int, str | None]:
     out: dict[int, str | None] = {}
-    for lo, hi in ((0xC0, 0x250), (0x1E00, 0x1F00), (0x2100, 0x2150), (0x2460, 0x2500), (0xFF01, 0xFF5F), (0x1D400, 0x1D800)):
+    for lo, hi in ((0x100, 0x250), (0x1E00, 0x1F00), (0x2100, 0x2150), (0x2460, 0x2500), (0xFF01, 0xFF5F), (0x1D400, 0x1D800)):
         for c in range(lo, hi):  # by rule: what decomposes into one ASCII letter or digit
             base = unicodedata.normalize("NFKD", chr(c))[:1].lower()
             if base.isascii() and base.isalnum():
@@ -188,26 +195,60 @@ def learnt(rows: DataFrame) -> tuple[dict[str, float], int, int]:
     found = (
         rows.select("text", "y").mapInPandas(_counts, "entry string, bad bigint, good bigint")
         .groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .withColumn("odds", ratio).where((F.col("bad") >= SUPPORT) & (F.col("odds") >= ODDS))
+        .withColumn("odds", ratio).where((F.col("bad") >= max(SUPPORT, SHARE * bad)) & (F.col("odds") >= ODDS))
         .orderBy(F.desc("bad"), "entry").limit(CANDIDATES).toPandas()
     )
     bad_of, odds = dict(zip(found["entry"], found["bad"], strict=True)), dict(zip(found["entry"], found["odds"], strict=True))
+    worth = {x: b - COST * g for x, b, g in zip(found["entry"], found["bad"], found["good"], strict=True)}
     taken: dict[str, float] = {}
     covered: list[str] = []
-    # from frequent to rare, short before long: of the extensions that lose no document the longest; what it covers is spent
-    for x in sorted(bad_of, key=lambda x: (-bad_of[x], len(x), x)):
-        if any(x.startswith(c) for c in covered):
+    # from best to worst, short before long: of the extensions that lose no document the longest; what it covers is spent, and
+    # so are beginnings of it, which only add other words
+    for x in sorted(bad_of, key=lambda x: (-worth[x], len(x), x)):
+        if worth[x] <= 0 or any(x.startswith(c) or c.startswith(x) for c in covered):
             continue
         longest = max((z for z in bad_of if z.startswith(x) and bad_of[z] == bad_of[x]), key=lambda z: (len(z), z))
         covered.append(x)
         taken[longest] = min(float(odds[longest]), 6.0) / 6.0
-    return taken, bad, good
+    return _needed(rows, taken, max(SUPPORT, SHARE * bad)), bad, good
+
+
+def _needed(rows: DataFrame, entries: dict[str, float], support: float) -> dict[str, float]:
+    """The entries without those that only repeat others, such as the rare words of one text that has many copies.
+
+    Greedily, the entry that the most toxic rows with fewer than DEMAND entries so far have, as long as ``support`` rows do.
+    """
+    if not entries:
+        return {}
+    lexicon = Lexicon(entries, ())
+
+    @F.arrow_udf("array<string>")
+    def present(batch: pa.Array) -> pa.Array:
+        found = []
+        for t in batch.to_pylist():
+            folded = fold(t or "")
+            found.append(sorted({folded[end - n + 1 : end + 1] for end, (n, _) in lexicon.automaton.iter(folded)}))
+        return pa.array(found, pa.list_(pa.string()))
+
+    sets = [set(r["e"]) for r in rows.where("y = 1").select(present(F.col("text")).alias("e")).collect()]
+    have, out = [0] * len(sets), {}
+    left = set(entries)
+    while left:
+        gain = Counter(x for k, s in enumerate(sets) if have[k] < DEMAND for x in s if x in left)
+        best = min(gain, key=lambda x: (-gain[x], x), default=None)
+        if best is None or gain[best] < support:
+            break
+        out[best] = entries[best]
+        left.discard(best)
+        for k, s in enumerate(sets):
+            have[k] += best in s
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Lexicon:
     """Lexicon and curve from at most ``bound`` labelled rows."""
     lexicon = seeds()
-    rows = training_rows(docs, labels, "toxic", bound)
+    rows = staged(training_rows(docs, labels, "toxic", bound), "toxic-training")  # read several times
     taken, bad, good = learnt(rows)
     lexicon.weights = {e: max(taken.get(e, 0.0), lexicon.weights.get(e, 0.0)) for e in {**taken, **lexicon.weights}}
     if not bad or not good:
@@ -217,10 +258,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Lexico
     w = np.array([0.0, 1.0])
     z = np.stack([np.ones_like(x), x], 1)
     weight = np.where(y > 0, 0.5 / bad, 0.5 / good)  # both classes count alike
-    for _ in range(50):  # Newton steps, with a slight pull to 0 on the slope
+    for _ in range(80):  # Newton steps, with a slight pull to 0 on the slope
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (weight * (p - y)) + np.array([0, 1e-4]) * w
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1e-9, 1e-4])
+        g = z.T @ (weight * (p - y)) + np.array([0, 1e-6]) * w
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1e-12, 1e-6])
         step = np.linalg.solve(h, g)
         w = w - step * min(1.0, 4.0 / max(1e-9, float(np.abs(step).max())))
     if w[1] > 0:
