@@ -18,6 +18,7 @@ null ids, repeated rows and other columns do not matter; an empty table gives no
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from array import array
@@ -28,11 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
-
 MODEL_BYTES = 32 << 20
 #: Segments in each of a task's two stores, the length in characters up to which it keeps them, and pairs that it keeps.
-STORE, STORED_CHARS, PAIRS = 500_000, 32, 1_000_000
+STORE, STORED_CHARS, PAIRS = 120_000, 32, 200_000
 BLANK = "▁"
 
 
@@ -262,7 +261,20 @@ def encode(docs: DataFrame, path: str, column: str = "pieces", text: str = "text
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row."""
-    (p,) = fresh(docs, "pieces")
-    out = encode(docs.select("doc_id", "text"), path, p)
-    return out.select("doc_id", F.col(p)["n_tokens"].alias("n_tokens"), F.sha2(F.col(p)["ids"], 256).alias("ids_sha256"), F.sha2(F.col(p)["decoded"].cast("binary"), 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row. Each text is hashed as soon as it is encoded, so that a batch holds no
+    ids."""
+    model = model_bytes(path)
+
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    def hashed(batch: pa.Array) -> pa.Array:
+        bpe = loaded(model)
+        count, ids, decoded = [], [], []
+        for t in batch:
+            packed = bpe.encode(t.as_py() or "")
+            count.append(len(packed) // 4)
+            ids.append(hashlib.sha256(packed).hexdigest())
+            decoded.append(hashlib.sha256(bpe.decode(packed).encode()).hexdigest())
+        return pa.StructArray.from_arrays([pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    out = docs.select("doc_id", hashed.asNondeterministic()(F.col("text")).alias("h"))
+    return out.select("doc_id", "h.n_tokens", "h.ids_sha256", "h.decoded_sha256")
