@@ -7,22 +7,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES, FREQUENCY_MAX, HISTORY, HOLDOUT, MIN_CLASS_RATE, RECENCY_BOUNDARIES, UINT32
 
-BY_KEY = W.partitionBy("key").orderBy("timestamp_us", "ordinal")
-IN_SEGMENT = W.partitionBy("key", "segment").orderBy("timestamp_us", "ordinal")
+
+def by_key() -> WindowSpec:
+    return W.partitionBy("key").orderBy("timestamp_us", "ordinal")
+
+
+def in_segment() -> WindowSpec:
+    return W.partitionBy("key", "segment").orderBy("timestamp_us", "ordinal")
+
 
 def with_segments(trace: DataFrame) -> DataFrame:
     """segment (1-based per key; one begins at the key's first record and at every miss), position in it, admission time
     (W2 to W5)."""
-    first = F.row_number().over(BY_KEY) == 1
-    out = trace.withColumn("segment", F.sum((first | ~F.col("hit")).cast("bigint")).over(BY_KEY.rowsBetween(W.unboundedPreceding, 0)))
-    out = out.withColumn("position", (F.row_number().over(IN_SEGMENT) - 1).cast("bigint"))
-    return out.withColumn("admitted_us", F.first("timestamp_us").over(IN_SEGMENT))
+    first = F.row_number().over(by_key()) == 1
+    out = trace.withColumn("segment", F.sum((first | ~F.col("hit")).cast("bigint")).over(by_key().rowsBetween(W.unboundedPreceding, 0)))
+    out = out.withColumn("position", (F.row_number().over(in_segment()) - 1).cast("bigint"))
+    return out.withColumn("admitted_us", F.first("timestamp_us").over(in_segment()))
 
 def with_gaps(segments: DataFrame) -> DataFrame:
     """gap_ms to the access before in the segment (0 at its start, capped) and next_gap_us to the key's next access, whether
@@ -30,7 +36,7 @@ def with_gaps(segments: DataFrame) -> DataFrame:
     gap = F.expr("timestamp_us - lag(timestamp_us) OVER (PARTITION BY key, segment ORDER BY timestamp_us, ordinal)")
     out = segments.withColumn("gap_us", F.coalesce(gap, F.lit(0)))
     out = out.withColumn("gap_ms", F.least(F.expr("gap_us div 1000"), F.lit(UINT32))).drop("gap_us")
-    return out.withColumn("next_gap_us", F.coalesce(F.lead("timestamp_us").over(BY_KEY) - F.col("timestamp_us"), F.lit(-1)))
+    return out.withColumn("next_gap_us", F.coalesce(F.lead("timestamp_us").over(by_key()) - F.col("timestamp_us"), F.lit(-1)))
 
 def hashed_offset(seed: int = 1) -> Callable[[Column], Column]:
     """Offsets that depend on the key, the time and the seed only: the first 60 bits of an MD5, modulo the span."""
@@ -51,7 +57,7 @@ def with_features(snapshots: DataFrame) -> DataFrame:
     accesses = F.col("position") + 1
     out = snapshots.withColumn("snapshot_us", F.col("timestamp_us") + F.col("offset_us")).withColumn("age_us", F.col("snapshot_us") - F.col("admitted_us"))
     for k in range(HISTORY):
-        out = out.withColumn(f"delta_{k}", F.coalesce(F.lag("gap_ms", k).over(IN_SEGMENT), F.lit(0)).cast("float"))
+        out = out.withColumn(f"delta_{k}", F.coalesce(F.lag("gap_ms", k).over(in_segment()), F.lit(0)).cast("float"))
     return (
         out.withColumn("recency_ms", F.expr("offset_us div 1000").cast("float"))
         .withColumn("age_ms", F.expr("age_us div 1000").cast("float"))
@@ -77,7 +83,7 @@ def samples(trace: DataFrame, boundary_us: int, offset: Callable[[Column], Colum
 
 def reuse_quantiles(trace: DataFrame, quantiles: list[float]) -> DataFrame:
     """(quantile, gap_us): linear interpolation, truncated; 0 without any reuse."""
-    gaps = trace.select((F.col("timestamp_us") - F.lag("timestamp_us").over(BY_KEY)).alias("gap")).where("gap IS NOT NULL")
+    gaps = trace.select((F.col("timestamp_us") - F.lag("timestamp_us").over(by_key())).alias("gap")).where("gap IS NOT NULL")
     got = gaps.agg(F.percentile("gap", F.array(*[F.lit(q) for q in quantiles])).alias("p"))
     pairs = F.arrays_zip(F.array(*[F.lit(q) for q in quantiles]).alias("q"), F.coalesce("p", F.array_repeat(F.lit(0.0), len(quantiles))).alias("v"))
     return got.select(F.explode(pairs).alias("x")).select(F.col("x.q").alias("quantile"), F.col("x.v").cast("bigint").alias("gap_us"))
