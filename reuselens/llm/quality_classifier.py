@@ -76,8 +76,8 @@ class RuleEnsemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def _grow(codes: np.ndarray, grad: np.ndarray, hess: np.ndarray, cuts: list[np.ndarray], names: list[str], depth: int, least: int) -> tuple[list[tuple[Rule, np.ndarray]], np.ndarray]:
-    """One tree by greedy gain on binned statistics. Returns all paths with their rows, and the leaf values per row."""
+def _grow(codes: np.ndarray, grad: np.ndarray, hess: np.ndarray, cuts: list[np.ndarray], use: np.ndarray, names: list[str], depth: int, least: int) -> tuple[list[tuple[Rule, np.ndarray]], np.ndarray]:
+    """One tree by greedy gain on binned statistics, of which ``use`` are looked at. Returns all paths with their rows, and the leaf values per row."""
     value = np.zeros(len(grad))
     paths: list[tuple[Rule, np.ndarray]] = []
 
@@ -86,7 +86,8 @@ def _grow(codes: np.ndarray, grad: np.ndarray, hess: np.ndarray, cuts: list[np.n
         best = (1e-6, -1, -1)
         if left and len(rows) >= 2 * least:
             base = g.sum() ** 2 / (h.sum() + 1.0)
-            for f, edges in enumerate(cuts):
+            for f in use:
+                edges = cuts[f]
                 if not len(edges):
                     continue
                 c, n = codes[rows, f], len(edges) + 1
@@ -111,7 +112,7 @@ def _grow(codes: np.ndarray, grad: np.ndarray, hess: np.ndarray, cuts: list[np.n
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 20, depth: int = 3, rate: float = 0.3, penalty: float = 2e-3, bins: int = 32, least: int = 10, steps: int = 400) -> RuleEnsemble:
-    """The ensemble for statistics ``x`` (rows by names) and labels ``y``. No randomness."""
+    """The ensemble for statistics ``x`` (rows by names) and labels ``y``. Draws have fixed seeds."""
     n = len(y)
     share = float(y.mean()) if n else 0.5
     if not n or share in (0.0, 1.0):
@@ -126,9 +127,11 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 20, depth:
     margin = np.full(n, np.log(share / (1 - share)))
     masks: dict[Rule, np.ndarray] = {}
     seen: dict[bytes, Rule] = {}
-    for _ in range(trees):
+    for t in range(trees):
+        # each tree sees half of the statistics, so that no single one decides where several tell the classes apart
+        use = np.random.Generator(np.random.PCG64(t)).permutation(x.shape[1])[: (x.shape[1] + 1) // 2]
         p = 1 / (1 + np.exp(-margin))
-        paths, value = _grow(codes, p - y, np.maximum(p * (1 - p), 1e-6), cuts, names, depth, least)
+        paths, value = _grow(codes, p - y, np.maximum(p * (1 - p), 1e-6), cuts, use, names, depth, least)
         margin += rate * value
         for rule, rows in paths:
             mask = np.zeros(n, bool)

@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import groupby
 from pathlib import Path
 
@@ -33,6 +34,7 @@ MODEL_BYTES = 32 << 20
 #: Segments in each of a task's two stores, the length in characters up to which it keeps them, and pairs that it keeps.
 STORE, STORED_CHARS, PAIRS = 120_000, 32, 200_000
 BLANK = "▁"
+NO_BYTE = b"\xff".decode("utf-8", "surrogateescape")
 
 
 class PrefixTableBPE:
@@ -73,9 +75,13 @@ class PrefixTableBPE:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.store: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        text_of = {k: "" if k in self.control else p.replace(BLANK, " ") for k, p in enumerate(self.pieces)}
-        # a byte id stands for its byte until all bytes of the text are there
-        self.text_of = [text_of[k] if k not in self.of_byte else bytes([self.of_byte[k]]).decode("utf-8", "surrogateescape") for k in range(len(self.pieces))]
+        # a byte id stands for its byte until all bytes of the text are there; a control id inside a text for a byte that none has
+        self.text_of = [p.replace(BLANK, " ") for p in self.pieces]
+        for k in self.control:
+            self.text_of[k] = NO_BYTE
+        for k, b in self.of_byte.items():
+            self.text_of[k] = bytes([b]).decode("utf-8", "surrogateescape")
+        self.text_of[spec.unk_id] = spec.unk_surface
 
     def merges(self, s: str) -> tuple[list[str], tuple[str, str]]:
         """The definition: of all neighbours that make a piece, those of the best score are merged, leftmost first. Returns the
@@ -187,20 +193,26 @@ class PrefixTableBPE:
     def decode(self, packed: bytes) -> str:
         """As the library decodes: control ids vanish, byte ids make characters, the first blank is dropped."""
         ids = array("I", packed)
+        while ids and ids[0] in self.control:
+            del ids[0]
+        while ids and ids[-1] in self.control:
+            del ids[-1]
         text_of = self.text_of
-        text = "".join([text_of[k] for k in ids])
-        raw = text.encode("utf-8", "surrogateescape")
+        raw = "".join([text_of[k] for k in ids]).encode("utf-8", "surrogateescape")
         try:
             text = raw.decode()
         except UnicodeDecodeError:
-            text = "".join(_bytes_text(bytes(run)) if byte else "".join(text_of[k] for k in run) for byte, run in self._runs(ids))
-        if text[:1] == " " and not any(k in self.of_byte for k in ids[1:2]):
-            text = text[1:]
-        return text
-
-    def _runs(self, ids: array):
-        for byte, run in groupby(ids, self.of_byte.__contains__):
-            yield byte, [self.of_byte[k] for k in run] if byte else list(run)
+            text = "".join(self._run(kind, run) for kind, run in groupby(ids, self._kind))
+        first = next((k for k in ids if k not in self.control), None)
+        return text[1:] if first is not None and first not in self.of_byte and self.pieces[first][:1] == BLANK else text
+
+    def _kind(self, k: int) -> int:
+        return 2 if k in self.control else k in self.of_byte
+
+    def _run(self, kind: int, run: Iterator[int]) -> str:
+        if kind == 2:
+            return ""
+        return _bytes_text(bytes(self.of_byte[k] for k in run)) if kind else "".join(self.text_of[k] for k in run)
 
 
 #: A run of blanks and what follows it.

@@ -98,26 +98,29 @@ def _resolved(link: Column, url: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): alias forms of pages and of what their canonical links and refreshes lead to."""
+    """(url, target): pages, and what their canonical links and refreshes lead to."""
     rel, href = r"""(?is)\brel\s*=\s*["']?\s*canonical\b""", r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     go, to = r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh\b""", r"""(?is)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*['"]?([^"'>]+)"""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tag = F.explode(F.filter(tags, lambda x: x.rlike(rel) | x.rlike(go))).alias("tag")
     some = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", tag)
     link = F.when(F.col("tag").rlike(rel), F.concat(*[F.regexp_extract("tag", href, k) for k in (1, 2, 3)])).otherwise(F.regexp_extract("tag", to, 1))
-    return some.select(parsed(F.col("url"))["alias"].alias("a"), parsed(_resolved(link, F.col("url")))["alias"].alias("b"))
+    return some.select("url", _resolved(link, F.col("url")).alias("target"))
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict) per row. redirects: further edges (src, dst) of URLs."""
-    edges = link_edges(pages)
+    """(page_id, host, path, rule, verdict) per row. redirects: further edges (src, dst) of URLs. URLs that are only linked to count
+    with the rules that fit them."""
+    links = link_edges(pages)
     if redirects is not None:
-        edges = edges.union(redirects.select(parsed(F.col("src"))["alias"], parsed(F.col("dst"))["alias"]))
-    comps = components(edges)
-    rows = pages.select("page_id", _let(parsed(F.col("url")), lambda p: F.struct(p.alias("at"), rule_of(p["host"], p["path"], rules).alias("r"))).alias("x"))
-    rows = rows.select("page_id", "x.at.host", "x.at.path", "x.at.alias", "x.r")
-    # one row per alias form and verdict before anything is joined
-    explicit = rows.where("r IS NOT NULL AND alias IS NOT NULL").groupBy("alias").agg(F.max(F.col("r.verdict") == "allow").alias("allow"))
+        links = links.union(redirects.select("src", "dst"))
+    ruled = lambda url: _let(parsed(url), lambda p: F.struct(p.alias("at"), rule_of(p["host"], p["path"], rules).alias("r")))
+    edges = links.select(ruled(F.col("url")).alias("x"), ruled(F.col("target")).alias("y"))
+    comps = components(edges.select(F.col("x.at.alias").alias("a"), F.col("y.at.alias").alias("b")))
+    rows = pages.select("page_id", ruled(F.col("url")).alias("x")).select("page_id", "x.at.host", "x.at.path", "x.at.alias", "x.r")
+    # one row per alias form before anything is joined
+    decided = rows.select("alias", "r").union(edges.select("x.at.alias", "x.r")).union(edges.select("y.at.alias", "y.r"))
+    explicit = decided.where("r IS NOT NULL AND alias IS NOT NULL").groupBy("alias").agg(F.max(F.col("r.verdict") == "allow").alias("allow"))
     by_comp = explicit.join(comps, explicit["alias"] == comps["node"], "left").groupBy(F.coalesce("component", "alias").alias("component")).agg(F.max("allow").alias("allow"))
     inherited = by_comp.select(F.col("component").alias("c"), F.when(F.col("allow"), "allow").otherwise("block").alias("inherited"))
     own = rows.where("r IS NOT NULL").select("page_id", "host", "path", F.col("r.text").alias("rule"), F.col("r.verdict").alias("verdict"))
@@ -162,6 +165,10 @@ WITH RECURSIVE p AS (
   SELECT page_id, {_sql_host('url')} AS host, {_sql_path('url')} AS path, {_sql_alias('url')} AS alias, {link} AS link FROM pages
 ), r AS (
   SELECT *, {case('text')} AS rule, {case('verdict')} AS own FROM p
+), l AS (
+  SELECT {_sql_host('link')} AS host, {_sql_path('link')} AS path, {_sql_alias('link')} AS alias FROM p WHERE link <> ''
+), q AS (
+  SELECT alias, own FROM r UNION ALL SELECT alias, {case('verdict')} FROM l
 ), e AS (
   SELECT DISTINCT alias AS a, {_sql_alias('link')} AS b FROM p WHERE link <> ''
 ), b AS (
@@ -171,7 +178,7 @@ WITH RECURSIVE p AS (
 ), comp AS (
   SELECT node, min(other) AS component FROM reach GROUP BY node
 ), d AS (
-  SELECT coalesce(component, alias) AS c, bool_or(own = 'allow') AS allow FROM r LEFT JOIN comp ON alias = node WHERE own IS NOT NULL AND alias IS NOT NULL GROUP BY 1
+  SELECT coalesce(component, alias) AS c, bool_or(own = 'allow') AS allow FROM q LEFT JOIN comp ON alias = node WHERE own IS NOT NULL AND alias IS NOT NULL GROUP BY 1
 )
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN d.allow THEN 'allow' WHEN NOT d.allow THEN 'block' END, 'allow') AS verdict
 FROM r LEFT JOIN comp ON alias = node LEFT JOIN d ON d.c = coalesce(component, alias)
