@@ -10,32 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 from reuselens.llm import decontamination, near_dedup, quality_classifier, quality_rules, sentencepiece_bpe
 from reuselens.llm.common import shared_dir, table
 from reuselens.llm.queries import tokenizer_path
+from reuselens.plans.shipping import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality classifier, trained on the table's labels, scores below 0.5."""
+    ship(spark)
     return quality_classifier.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the default quality policy rejects."""
+    ship(spark)
     return quality_rules.keep(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each near-duplicate group (five words, similarity of 0.8 or more)."""
+    ship(spark)
     return near_dedup.keep(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a twentieth or more of their words in benchmark windows."""
+    ship(spark)
     return decontamination.keep(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    ship(spark)
     return sentencepiece_bpe.digests(docs, tokenizer_path())
 
 
