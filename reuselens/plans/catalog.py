@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -698,7 +698,7 @@ def segment_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from .staging import shared_dir
 
     spark.dataSource.register(SegmentSource)
-    folder = tempfile.mkdtemp(prefix="segments-", dir=shared_dir(spark).removeprefix("file://"))
+    folder = f"{shared_dir(spark)}/reuselens/segments-{uuid.uuid4().hex}"
     rows = trace.events_trace(spark, sf).select(F.col("key").alias("key_hash"), "timestamp_us", "size_bytes", "hit")
     rows.write.format("segments").option("batch", 512).mode("append").save(folder)
     return spark.read.format("segments").option("mode", "FAILFAST").load(folder).select("key_hash", "timestamp_us", "size_bytes", "hit")
@@ -711,7 +711,7 @@ def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
     from .staging import shared_dir
 
     rows = trace.events_trace(spark, sf)
-    folder = tempfile.mkdtemp(prefix="stream-", dir=shared_dir(spark).removeprefix("file://"))
+    folder = f"{shared_dir(spark)}/reuselens/stream-{uuid.uuid4().hex}"
     edges = rows.approxQuantile("timestamp_us", [1 / 3, 2 / 3], 0.01)
     for k, (lo, hi) in enumerate(zip([float("-inf"), *edges], [*edges, float("inf")], strict=True)):
         rows.where((F.col("timestamp_us") > lo) & (F.col("timestamp_us") <= hi)).coalesce(1).write.mode("append").parquet(f"{folder}/in/part={k}")
@@ -724,3 +724,48 @@ def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
     finally:
         spark.conf.set(provider, before)
     return spark.read.parquet(f"{folder}/out")
+
+
+# --- serving ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DISTANCE}, m AS (SELECT x.pos, x.key FROM x WHERE coalesce(distance >= {UNIT}, true)),
+k AS (SELECT user_id AS key, {sql_hash("('key-' || user_id || '#size')")} AS hs, {sql_hash("('key-' || user_id || '#latency')")} AS hl FROM (SELECT DISTINCT user_id FROM events))
+SELECT m.key, count(*) AS fetches, CAST(sum(CAST(greatest(512, least(65536, floor(512.0 * pow(1.0 / (CAST(hs // 2048::UHUGEINT + 1::UHUGEINT AS DOUBLE) / 9007199254740992.0), 1.0 / 1.5)))) AS BIGINT)) AS BIGINT) AS origin_bytes,
+  CAST(sum(CAST(2000000 + hl % 1000000 AS BIGINT)) AS BIGINT) AS waited_ns FROM m JOIN k USING (key) GROUP BY m.key""")
+def read_through(spark: SparkSession, sf: str) -> DataFrame:
+    """What an LRU's misses fetch from the origin, by object."""
+    missed = simulator.simulate(_unit_requests(spark, sf), "lru", UNIT).where("NOT hit").groupBy("key").agg(F.count("*").alias("fetches"))
+    named = missed.withColumn("name", F.concat(F.lit("key-"), F.col("key").cast("string")))
+    priced = S.with_origin_latency(S.with_origin_size(named, "name"), "name")
+    return priced.select("key", "fetches", (F.col("fetches") * F.col("origin_size")).alias("origin_bytes"), (F.col("fetches") * F.col("origin_latency_ns")).alias("waited_ns"))
+
+
+@query(f"""WITH {CUSTOMERS}, {_vnodes_sql(NODES)}, p AS ({_placed_sql('v')}), n AS (SELECT unnest([{', '.join(f"'{n}'" for n in NODES)}]) AS called)
+SELECT key, count(*) AS calls, bool_or(called = node) AS existed FROM p CROSS JOIN n GROUP BY key""")
+def delete_fanout(spark: SparkSession, sf: str) -> DataFrame:
+    """A delete goes to every node; it existed if any node had it (J9, A24). The nodes are a short list of the program's."""
+    placed = ring.lookup(_customer_keys(spark, sf), ring.vnodes(spark, NODES, 64))
+    calls = placed.withColumn("called", F.explode(F.array(*[F.lit(n) for n in NODES])))
+    return calls.groupBy("key").agg(F.count("*").alias("calls"), F.bool_or(F.col("called") == F.col("node")).alias("existed"))
+
+
+@query(f"WITH {TRACE} SELECT epoch_us(time_bucket(INTERVAL 1 DAY, make_timestamp(timestamp_us))) AS start_us, count(*) AS requests, count(*) FILTER (hit) AS hits FROM t GROUP BY 1")
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests and hits by day from a stream, the state of the last batch (ST6)."""
+    from ..streaming.stateful import file_stream, windowed_hits
+    from .staging import shared_dir
+
+    rows = trace.events_trace(spark, sf)
+    folder = f"{shared_dir(spark)}/reuselens/windows-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    windows = windowed_hits(file_stream(spark, f"{folder}/in", rows.schema), "1 day")
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out")
+    windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query()
+def zipf_workload(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests per key of a generated workload (X10): its numbers come from Spark's own hash, so no SQL."""
+    return S.zipf_requests(spark, 50_000, 5_000, 1.1).groupBy("key").agg(F.count("*").alias("requests"))
