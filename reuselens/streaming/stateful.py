@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +50,7 @@ class EntryState(StatefulProcessor):
 
 
 def entry_states(accesses: DataFrame, ttl_us: int = 0) -> DataFrame:
+    register_pickle_by_value(sys.modules[__name__])  # stateful workers start without the files that Spark distributes
     return accesses.groupBy("key").transformWithStateInPandas(EntryState(ttl_us), outputStructType=ENTRY, outputMode="append", timeMode="none")
 
 
