@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, staged
+from .common import staged
 from .components import components
 from .textstats import shingles
 
@@ -241,14 +241,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 def keep(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group, with the columns of ``docs``: the one with the least id, once if its row is repeated."""
-    (row,) = fresh(docs, "row_number_of_id")
     verdicts = near_duplicates(docs, k, num, den).where("kept")
-    ids = verdicts.groupBy("doc_id").agg(F.count("*").alias("n"))
-    ids = staged(ids, "kept")
+    ids = staged(verdicts.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    single = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    twice = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(*names).union(twice.select(*names)).union(docs.where(F.col("doc_id").isNull()).select(*names))
+    out = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*names).union(docs.where(F.col("doc_id").isNull()).select(*names))
+    if not ids.where("n > 1").isEmpty():  # texts are dealt out a second time only if rows repeat an id
+        out = out.union(docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*names))
+    return out
 
 
 def query(docs: DataFrame) -> DataFrame:
