@@ -244,7 +244,8 @@ def keep(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     verdicts = near_duplicates(docs, k, num, den).where("kept")
     ids = staged(verdicts.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*names).union(docs.where(F.col("doc_id").isNull()).select(*names))
+    # the same join at every size, as in near_links: the ids grow with the input
+    out = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*names).union(docs.where(F.col("doc_id").isNull()).select(*names))
     if not ids.where("n > 1").isEmpty():  # texts are dealt out a second time only if rows repeat an id
         out = out.union(docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*names))
     return out
