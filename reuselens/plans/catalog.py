@@ -394,8 +394,8 @@ r AS (
 
 @query(_min_sql(MIN_CAPACITY))
 def min_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """The optimum over the first requests: a prefix is the query's subject, as the SQL's list of residents is slow."""
-    return optimum.optimum(_requests(spark, sf).where(F.col("pos") <= PREFIX), MIN_CAPACITY).select("requests", "hits")
+    """The optimum over the whole trace. The SQL's list of residents is slow and ends at PREFIX, so the two agree on traces up to that only."""
+    return optimum.optimum(_requests(spark, sf), MIN_CAPACITY).select("requests", "hits")
 
 
 DISTANCE = PLACED + """, l AS (SELECT pos, key, lag(pos) OVER (PARTITION BY key ORDER BY pos) AS pv FROM p),

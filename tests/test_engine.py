@@ -107,6 +107,37 @@ def test_optimum_of_the_textbook(spark, capacity, hits):
     assert optimum.optimum(requests(spark, TEXTBOOK), capacity).first()["hits"] == hits
 
 
+def events_table(tmp_path, n):
+    """A folder with n events in time order, and their users."""
+    import datetime
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    draw = random.Random(7)
+    users = [min(int(draw.paretovariate(0.6)), 400) for _ in range(n)]
+    start = datetime.datetime(2024, 1, 1)
+    ts = pa.array([start + datetime.timedelta(seconds=i) for i in range(n)], pa.timestamp("us"))
+    pq.write_table(pa.table({"event_id": pa.array(range(n), pa.int64()), "ts": ts, "user_id": pa.array(users, pa.int64()), "event_type": ["click"] * n, "value": [1.0] * n}), tmp_path / "events.parquet")
+    return users
+
+
+def test_min_hits_takes_the_whole_trace(spark, tmp_path):
+    from reuselens.plans import catalog
+
+    users = events_table(tmp_path, 1500)
+    hits, resident = 0, set()
+    for i, k in enumerate(users):  # the furthest next use by search
+        if k in resident:
+            hits += 1
+        elif len(resident) >= catalog.MIN_CAPACITY:
+            after = {x: next((j for j in range(i + 1, len(users)) if users[j] == x), len(users) + i) for x in resident}
+            resident.remove(max(after, key=after.get))
+        resident.add(k)
+    assert catalog.QUERIES["min_hits"](spark, str(tmp_path)).first().asDict() == {"requests": 1500, "hits": hits}
+
+
 def test_optimum_is_no_worse_than_lru_and_monotone(spark):
     keys = [r["rank"] for r in S.zipf_requests(spark, 4000, 500, 1.2).orderBy("pos").collect()]
     r = requests(spark, keys)
