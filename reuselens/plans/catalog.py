@@ -444,7 +444,8 @@ _LFU = f"""WITH RECURSIVE {PLACED}, r AS (
 
 @query(_LFU)
 def sim_lfu(spark: SparkSession, sf: str) -> DataFrame:
-    return simulator.simulate(_unit_requests(spark, sf).where(F.col("pos") <= PREFIX), "lfu", MIN_CAPACITY).select("pos", "key", "hit")
+    """The whole trace; the SQL ends at PREFIX."""
+    return simulator.simulate(_unit_requests(spark, sf), "lfu", MIN_CAPACITY).select("pos", "key", "hit")
 
 
 @query()

@@ -138,6 +138,20 @@ def test_min_hits_takes_the_whole_trace(spark, tmp_path):
     assert catalog.QUERIES["min_hits"](spark, str(tmp_path)).first().asDict() == {"requests": 1500, "hits": hits}
 
 
+def test_sim_lfu_takes_the_whole_trace(spark, tmp_path):
+    from reuselens.plans import catalog
+
+    users = events_table(tmp_path, 1500)
+    counts, want = {}, []
+    for k in users:  # the least count goes, of equal ones the least key
+        want.append(k in counts)
+        if k not in counts and len(counts) >= catalog.MIN_CAPACITY:
+            del counts[min(counts, key=lambda x: (counts[x], x))]
+        counts[k] = counts.get(k, 0) + 1
+    got = catalog.QUERIES["sim_lfu"](spark, str(tmp_path)).orderBy("pos").collect()
+    assert [r["key"] for r in got] == users and [r["hit"] for r in got] == want and any(want[1000:])
+
+
 def test_optimum_is_no_worse_than_lru_and_monotone(spark):
     keys = [r["rank"] for r in S.zipf_requests(spark, 4000, 500, 1.2).orderBy("pos").collect()]
     r = requests(spark, keys)
