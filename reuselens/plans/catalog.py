@@ -515,8 +515,9 @@ d AS (SELECT node, seq, {', '.join(f'{c} - lag({c}) OVER w AS {c}' for c in stat
 e AS (SELECT *, least({', '.join(stats.COUNTERS)}) < 0 AS restarted FROM d WHERE hits IS NOT NULL)
 SELECT *, CAST(CASE WHEN restarted OR evict_samples = 0 THEN 0 ELSE evict_ns_sum // evict_samples END AS BIGINT) AS evict_ns_mean FROM e""")
 def stats_delta(spark: SparkSession, sf: str) -> DataFrame:
-    few = _node_stats(spark, sf).where(F.col("node").isin([f"node-{k}" for k in range(1, 8)]))
-    return stats.window_delta(few.withColumn("node", F.lit("one")).withColumnRenamed("cluster", "seq"))
+    """Clusters as nodes, whose snapshots are all of their suppliers by number; the SQL has seven suppliers as one node."""
+    snapshots = _node_stats(spark, sf).withColumn("seq", F.substring_index("node", "-", -1).cast("bigint"))
+    return stats.window_delta(snapshots.withColumn("node", F.col("cluster").cast("string")))
 
 
 @query(f"""WITH {NODE_STATS}, l AS ({' UNION ALL '.join([f"SELECT node, 'cache_{c}_total' AS metric, CAST({c} AS DOUBLE) AS value, 'counter' AS kind FROM n" for c in stats.COUNTERS] + [f"SELECT node, 'cache_{c}', CAST({c} AS DOUBLE), 'gauge' FROM n" for c in stats.GAUGES])})

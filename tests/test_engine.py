@@ -350,6 +350,23 @@ def test_stats(spark):
         stats.require_no_restart(d)
 
 
+def test_stats_delta_takes_every_supplier(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from reuselens.plans import catalog
+
+    pq.write_table(pa.table({"s_suppkey": pa.array(range(1, 61), pa.int64())}), tmp_path / "supplier.parquet")
+    got = {r["seq"]: r for r in catalog.QUERIES["stats_delta"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(8, 61))  # all but the first of each of the seven series
+    for k, r in got.items():
+        rejections, samples = k % 5 - (k - 7) % 5, k % 11 - (k - 7) % 11
+        fell = min(rejections, samples) < 0
+        assert (r["node"], r["hits"], r["rejections"], r["evict_ns_sum"], r["evict_samples"], r["restarted"]) == (str(k % 7), 91, rejections, 7000, samples, fell)
+        assert r["objects"] == 2 * k and r["evict_ns_mean"] == (0 if fell or not samples else 7000 // samples)
+    assert {r["restarted"] for r in got.values()} == {True, False}
+
+
 def test_latency_split(spark):
     got = stats.latency_split(spark.createDataFrame([(100, True), (200, True), (300, True), (2000, False)], "ns bigint, from_cache boolean")).first()
     assert (got["mean_ns"], got["mean_hit_ns"], got["mean_miss_ns"]) == (650, 200, 2000)
