@@ -312,7 +312,7 @@ def auc_rank_sum(spark: SparkSession, sf: str) -> DataFrame:
 def gbt_fit_auc(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import training
 
-    fitted = training.fit(_samples(spark, sf), trees=5, depth=4)
+    fitted = training.fit(_samples(spark, sf), trees=300, depth=8, patience=25)  # the reference's
     return spark.createDataFrame([(fitted.rows, len(fitted.model.trees), fitted.auc, fitted.positive_rate, fitted.dropped)], "rows bigint, trees bigint, auc double, positive_rate double, dropped bigint")
 
 

@@ -383,6 +383,23 @@ def test_training_of_two_populations(spark):
     assert json.loads(fitted.summary())["trees"] == len(M.parse(M.dump(fitted.model)).trees)
 
 
+def test_training_stops_at_the_least_loss(spark, monkeypatch):
+    from reuselens.operators import training
+    from reuselens.plans import catalog
+
+    assert training.best_round([5, 4, 3, 4, 4, 2], 2) == (3, True) and training.best_round([5, 4, 3, 4, 4, 2], 3) == (6, False)
+    hot = [(k, t * S1 // 2 + k, 1024, t > 0) for k in range(10) for t in range(120)]
+    cold = [(100 + k, t * 4 * S1 + 1000 * k, 1024, t > 0) for k in range(80) for t in range(15)]
+    trace_of = accesses(spark, sorted(hot + cold, key=lambda r: r[1]))
+    fitted = training.train(trace_of, S1, trees=12, depth=3, patience=3)
+    assert 1 <= len(fitted.model.trees) <= 12 and fitted.auc > 0.9
+    asked = {}
+    monkeypatch.setattr(training, "fit", lambda rows, **options: asked.update(options) or fitted)
+    monkeypatch.setattr(catalog, "_samples", lambda *_: None)
+    catalog.QUERIES["gbt_fit_auc"](spark, "")
+    assert asked == {"trees": 300, "depth": 8, "patience": 25}
+
+
 def test_degenerate_labels(spark):
     from reuselens.operators import training
 
