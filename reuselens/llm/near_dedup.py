@@ -240,14 +240,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 
 def keep(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group, with the columns of ``docs``: the one with the least id, once if its row is repeated."""
+    """One document of each group, with the columns of ``docs``: the one with the least id, once if its row is repeated.
+
+    Kept rows of one id are compared once more, under ids of their own: texts that aren't linked all stay.
+    """
     verdicts = near_duplicates(docs, k, num, den).where("kept")
     ids = staged(verdicts.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     names = [F.col(f"`{c}`") for c in docs.columns]
     # the same join at every size, as in near_links: the ids grow with the input
     out = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*names).union(docs.where(F.col("doc_id").isNull()).select(*names))
     if not ids.where("n > 1").isEmpty():  # texts are dealt out a second time only if rows repeat an id
-        out = out.union(docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*names))
+        same = F.coalesce(_sets(F.col("text"), k, 1, 1)["digest"], F.md5(F.col("text").cast("binary")).cast("binary"))
+        rows = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").withColumn("_same", same).dropDuplicates(["doc_id", "_same"])
+        rows = staged(rows.withColumn("_row", F.xxhash64("doc_id", "_same")).drop("_same"), "repeated")
+        left = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), k, num, den).where("kept").select(F.col("doc_id").alias("_row"))
+        out = out.union(rows.join(left, "_row", "left_semi").select(*names))
     return out
 
 

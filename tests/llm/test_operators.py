@@ -427,6 +427,13 @@ def test_dedup_keeps_one_of_each(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0 and near_dedup.keep(documents(spark, [])).count() == 0
 
 
+def test_dedup_keeps_unlinked_texts_of_one_id(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(100))
+    rows = [(1, words("a")), (1, words("b")), (1, words("a")), (1, words("b") + " more"), (2, words("c")), (2, words("c")), (3, words("c")), (4, words("d"))]
+    got = [(x["doc_id"], x["text"].removesuffix(" more")) for x in near_dedup.keep(documents(spark, rows)).collect()]
+    assert sorted(got) == [(1, words("a")), (1, words("b")), (2, words("c")), (4, words("d"))]
+
+
 # --- 10 licences -----------------------------------------------------------------------------------------------------
 
 
