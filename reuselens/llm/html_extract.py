@@ -33,6 +33,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that show no text of the page, or only controls.
 SILENT = frozenset("script style noscript template title svg iframe object canvas audio video select button textarea math applet noframes".split())
+#: Of these, those whose content is no markup, so that they reach to the end of the page without an end tag.
+RAW = frozenset("script style title textarea iframe noframes noscript".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: Start tags that end open elements of these kinds, and the elements that this doesn't reach beyond.
@@ -90,6 +92,7 @@ def parse(source: str) -> Page:
     stack = [0]
     pieces: list[str] = []
     links, anchor, pos, n = 0, 0, 0, len(source)
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal links
@@ -149,8 +152,10 @@ def parse(source: str) -> Page:
         if name in SILENT or name == "head":
             if m[3].endswith("/") and name in ("svg", "math"):
                 continue
-            end = re.compile(r"</head\s*>|(?=<body[\s>])" if name == "head" else rf"</{name}\s*>", re.I).search(source, pos)
-            pos = end.end() if end else (n if name != "head" else pos)
+            end = None if name in endless else re.compile(r"</head\s*>|(?=<body[\s>])" if name == "head" else rf"</{name}\s*>", re.I).search(source, pos)
+            if end is None:
+                endless.add(name)  # nor is there one further on, which keeps the time linear
+            pos = end.end() if end else (n if name in RAW else pos)
             if name not in ("svg", "math", "button", "select"):
                 flush()
             continue

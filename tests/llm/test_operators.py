@@ -434,6 +434,12 @@ def test_dedup_keeps_unlinked_texts_of_one_id(spark):
     assert sorted(got) == [(1, words("a")), (1, words("b")), (2, words("c")), (4, words("d"))]
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "math", "object", "canvas", "audio", "video", "template"])
+def test_an_unclosed_control_does_not_end_the_page(tag):
+    runs = lambda name: [t for _, t, _ in html_extract.parse(f"<article><p>One.</p><{name}><p>Two.</p></article>").runs]
+    assert runs(tag) == ["One.", "Two."] and runs("script") == ["One."]
+
+
 # --- 10 licences -----------------------------------------------------------------------------------------------------
 
 
