@@ -63,7 +63,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int = T
     """(doc_id, text, y) of at most ``bound`` labelled rows outside the held-out third.
 
     The sample is by hash of the id, so it does not depend on order or partitioning. Rows without id or label are no
-    training rows; of several labels for one id the largest holds; of several texts for one id each is a row.
+    training rows; of several labels for one id the largest holds; of several texts for one id the one with the least hash,
+    so that the bound is one of rows, whatever the ids.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
@@ -71,7 +72,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int = T
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
     # at most ``bound`` pairs of an id and a label, hence the broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

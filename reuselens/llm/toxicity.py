@@ -6,11 +6,14 @@ substitutions to Latin letters, gives i and l one form (1 stands for both), and
 are whole words or word beginnings; exception phrases cancel the entries inside them. The weights of the matches, divided
 by the text's length in words, give the score through a logistic curve.
 
-The lexicon is a short list of seeds and what the training rows teach: words and beginnings of words that are frequent in toxic
-and rare in other texts. Counting is distributed; the driver gets the best CANDIDATES.
-
-Defined cases: null and empty texts have density 0 and the least score; without training rows of both classes the seeds alone
-and a fixed curve hold; null ids are not held out; repeated rows and other columns do not matter; an empty table gives no rows.
+The lexicon is a short list of seeds and what the training rows teach: words and beginnings of words that take a larger share of
+the toxic texts' words than of the others'. Toxic texts that a seed explains teach nothing. Counting is distributed; the driver
+gets the entries that at least SHARE of the unexplained toxic rows have, hence at most 1 / SHARE times the entries of a mean row.
+
+Defined cases: null and empty texts have density 0 and the least score; very long texts are matched as a whole, in time linear in
+their length; without training rows of both classes the seeds alone and a fixed curve hold; null ids are not held out; entries of
+equal worth go by their text; of several texts of one id one is a training row, otherwise repeated rows are rows like any other;
+other columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,13 +59,13 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 SYMBOLS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 # ------------------------------------------------------------------------------------------------------------------
 
-#: Lengths of word beginnings that are learnt; least support, in rows and as a share of the toxic ones; least logarithm of the
-#: odds ratio; entries brought to the driver.
-STEMS, SUPPORT, SHARE, ODDS, CANDIDATES = range(4, 9), 5, 0.005, 3.0, 20_000
-#: Toxic rows that an entry must bring for each other row that it hits.
-COST = 20
+#: Lengths of word beginnings that are learnt; least support, in rows and as a share of the toxic rows without a seed; least
+#: logarithm of the ratio of mean shares of words; share of a text's words from which on a text counts no more.
+STEMS, SUPPORT, SHARE, ODDS, FULL = range(3, 10), 2, 0.02, 2.5, 0.05
 #: Entries that a toxic training row needs before more entries are of no use to it.
 DEMAND = 2
+#: Logarithm of the ratio from which on an entry has weight 1, and what is added to sums of shares before they are divided.
+SUREST, SMOOTH = 6.0, 0.002
 #: Texts are as long as this at least, in words, for the density.
 SHORTEST = 20
 
@@ -150,8 +154,10 @@ class Lexicon:
         if not found:
             return 0.0, 0
         best: dict[int, float] = {}  # of the entries that begin at one word, the heaviest
+        ends, longest = [b for _, b in spared], max((b - a for a, b in spared), default=0)
         for s, e, w in found:
-            if not any(a <= s and e <= b for a, b in spared):
+            # only phrases that end at most a phrase's length further on can hold the entry
+            if not any(a <= s for a, _ in spared[bisect_left(ends, e) : bisect_right(ends, e + longest)]):
                 best[s] = max(best.get(s, 0.0), w)
         return sum(best.values()) / max(SHORTEST, len(folded.split())), len(best)
 
@@ -168,55 +174,70 @@ def seeds() -> Lexicon:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents with each word and word beginning, by label, added up within the task."""
-    held: dict[str, list[int]] = {}
+    """Of each word and word beginning the documents that have it, and their summed shares of words, by label, within the task."""
+    held: dict[str, list[float]] = {}
 
     def out() -> pd.DataFrame:
-        return pd.DataFrame({"entry": list(held), "bad": [v[0] for v in held.values()], "good": [v[1] for v in held.values()]})
+        return pd.DataFrame({"entry": list(held), **{c: [v[k] for v in held.values()] for k, c in enumerate(("bad", "good", "in_bad", "in_good"))}}).astype({"bad": "int64", "good": "int64"})
 
     for pdf in batches:
         for text, y in zip(pdf["text"], pdf["y"], strict=True):
-            words = set(fold(text or "").split())
-            for x in {f" {w} " for w in words if len(w) > 2} | {f" {w[:n]}" for w in words for n in STEMS if len(w) >= n}:
-                held.setdefault(x, [0, 0])[0 if y else 1] += 1
+            words = fold(text or "").split()
+            own: Counter[str] = Counter()
+            for w, k in Counter(words).items():
+                if len(w) > 2:
+                    own[f" {w} "] += k
+                for n in STEMS:
+                    if len(w) >= n:
+                        own[f" {w[:n]}"] += k
+            at, size = (0 if y else 1), max(SHORTEST, len(words))
+            for x, k in own.items():
+                v = held.setdefault(x, [0, 0, 0.0, 0.0])
+                v[at] += 1
+                v[2 + at] += min(k / size, FULL)
             if len(held) > 400_000:
                 yield out()
                 held = {}
-    yield out()
+    if held:  # a task may have no rows
+        yield out()
 
 
-def learnt(rows: DataFrame) -> tuple[dict[str, float], int, int]:
-    """Entries and weights from training rows (text, y), and the number of toxic and other rows."""
+def learnt(rows: DataFrame) -> dict[str, float]:
+    """Entries and weights from training rows (text, y, seeded)."""
+    rows = rows.where("y = 0 OR NOT seeded")
     size = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("bad"), F.count("*").alias("n")).first()
     bad, good = int(size["bad"]), int(size["n"] - size["bad"])
     if not bad or not good:
-        return {}, bad, good
-    ratio = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
+        return {}
+    support = max(SUPPORT, SHARE * bad)
+    share = lambda c, n: F.log((F.col(c) + SMOOTH) / (n + 1))
     found = (
-        rows.select("text", "y").mapInPandas(_counts, "entry string, bad bigint, good bigint")
-        .groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .withColumn("odds", ratio).where((F.col("bad") >= max(SUPPORT, SHARE * bad)) & (F.col("odds") >= ODDS))
-        .orderBy(F.desc("bad"), "entry").limit(CANDIDATES).toPandas()
+        rows.select("text", "y").mapInPandas(_counts, "entry string, bad bigint, good bigint, in_bad double, in_good double")
+        .groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("bad", "good", "in_bad", "in_good")])
+        .withColumn("odds", F.round(share("in_bad", bad) - share("in_good", good), 6)).where((F.col("bad") >= support) & (F.col("odds") >= ODDS))
+        .select("entry", "bad", "good", "odds").toPandas()
     )
-    bad_of, odds = dict(zip(found["entry"], found["bad"], strict=True)), dict(zip(found["entry"], found["odds"], strict=True))
-    worth = {x: b - COST * g for x, b, g in zip(found["entry"], found["bad"], found["good"], strict=True)}
+    seen = {e: (b, g) for e, b, g in zip(found["entry"], found["bad"], found["good"], strict=True)}
+    odds = dict(zip(found["entry"], found["odds"], strict=True))
+    begins = lambda x: (x[:n] for n in range(2, len(x) + 1))
+    longest = {(c, seen[z]): z for z in sorted(seen, key=lambda z: (len(z), z)) for c in begins(z)}  # of those that lose no document
     taken: dict[str, float] = {}
-    covered: list[str] = []
-    # from best to worst, short before long: of the extensions that lose no document the longest; what it covers is spent, and
-    # so are beginnings of it, which only add other words
-    for x in sorted(bad_of, key=lambda x: (-worth[x], len(x), x)):
-        if worth[x] <= 0 or any(x.startswith(c) or c.startswith(x) for c in covered):
+    covered: set[str] = set()
+    shorter: set[str] = set()
+    # from best to worst, short before long; what an entry covers is spent, and so are beginnings of it, which only add other words
+    for x in sorted(seen, key=lambda x: (-seen[x][0] * odds[x], len(x), x)):
+        if x in shorter or any(c in covered for c in begins(x)):
             continue
-        longest = max((z for z in bad_of if z.startswith(x) and bad_of[z] == bad_of[x]), key=lambda z: (len(z), z))
-        covered.append(x)
-        taken[longest] = min(float(odds[longest]), 6.0) / 6.0
-    return _needed(rows, taken, max(SUPPORT, SHARE * bad)), bad, good
+        covered.add(x)
+        shorter.update(begins(x))
+        taken[longest[(x, seen[x])]] = min(float(odds[x]), SUREST) / SUREST
+    return _needed(rows, taken, support)
 
 
 def _needed(rows: DataFrame, entries: dict[str, float], support: float) -> dict[str, float]:
     """The entries without those that only repeat others, such as the rare words of one text that has many copies.
 
-    Greedily, the entry that the most toxic rows with fewer than DEMAND entries so far have, as long as ``support`` rows do.
+    Greedily, the entry that adds most weight to toxic rows with fewer than DEMAND entries so far, if ``support`` of them have it.
     """
     if not entries:
         return {}
@@ -232,29 +253,31 @@ def _needed(rows: DataFrame, entries: dict[str, float], support: float) -> dict[
 
     sets = [set(r["e"]) for r in rows.where("y = 1").select(present(F.col("text")).alias("e")).collect()]
     have, out = [0] * len(sets), {}
-    left = set(entries)
-    while left:
-        gain = Counter(x for k, s in enumerate(sets) if have[k] < DEMAND for x in s if x in left)
-        best = min(gain, key=lambda x: (-gain[x], x), default=None)
-        if best is None or gain[best] < support:
-            break
+    gain = Counter(x for s in sets for x in s)
+    while gain := Counter({x: n for x, n in gain.items() if n >= support}):
+        best = min(gain, key=lambda x: (-gain[x] * entries[x], x))
         out[best] = entries[best]
-        left.discard(best)
+        del gain[best]
         for k, s in enumerate(sets):
-            have[k] += best in s
+            if best in s:
+                have[k] += 1
+                if have[k] == DEMAND:
+                    gain.subtract(x for x in s if x in gain)
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Lexicon:
     """Lexicon and curve from at most ``bound`` labelled rows."""
     lexicon = seeds()
-    rows = staged(training_rows(docs, labels, "toxic", bound), "toxic-training")  # read several times
-    taken, bad, good = learnt(rows)
+    rows = training_rows(docs, labels, "toxic", bound).select("text", "y", (density_column(F.col("text"), lexicon)["n_hits"] > 0).alias("seeded"))
+    rows = staged(rows, "toxic-training")  # read several times
+    taken = learnt(rows)
     lexicon.weights = {e: max(taken.get(e, 0.0), lexicon.weights.get(e, 0.0)) for e in {**taken, **lexicon.weights}}
-    if not bad or not good:
-        return lexicon
     got = rows.select("y", density_column(F.col("text"), lexicon)["density"].alias("density")).toPandas().sort_values(["y", "density"])
     x, y = np.log1p(100 * got["density"].to_numpy(float)), got["y"].to_numpy(float)
+    bad, good = float(y.sum()), float((1 - y).sum())
+    if not bad or not good:
+        return lexicon
     w = np.array([0.0, 1.0])
     z = np.stack([np.ones_like(x), x], 1)
     weight = np.where(y > 0, 0.5 / bad, 0.5 / good)  # both classes count alike

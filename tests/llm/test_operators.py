@@ -135,6 +135,38 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.query(documents(spark, []), odd_labels(spark)).count() == 0
 
 
+def test_toxicity_of_empty_partitions(spark):
+    r = random.Random(6)
+    rows = [(k, prose(r, 30) + (" zorbelix zorbelam" if k % 2 else ""), k % 2) for k in range(30)]
+    few = spark.createDataFrame(rows, "doc_id bigint, text string, y int").repartition(64).withColumn("seeded", F.lit(False))
+    assert any(x.startswith(" zorb") for x in toxicity.learnt(few))
+    assert toxicity.learnt(few.where("y = 0")) == toxicity.learnt(few.limit(0)) == {}
+
+
+def test_toxicity_against_plain_search(spark):
+    """Every entry is looked for at every word of the folded text, every phrase by its places."""
+    lexicon, r = toxicity.seeds(), random.Random(8)
+    vocabulary = "idiots trash can clown fish nose not an a moron loser sore stupid stupidity worthless proof trashcan fine scummy".split()
+    for _ in range(300):
+        words = r.choices(vocabulary, k=r.randint(0, 60))
+        folded = " " + " ".join(toxicity.fold(" ".join(words)).split()) + " "
+        spared = {(k, k + len(p)) for p in lexicon.exceptions for k in range(len(folded)) if folded.startswith(p, k)}
+        total, n = 0.0, 0
+        for k in range(len(folded)):
+            w = max((w for x, w in lexicon.weights.items() if folded.startswith(x, k) and not any(a <= k and k + len(x) <= b for a, b in spared)), default=0)
+            total, n = total + w, n + (w > 0)
+        density, hits = lexicon.density(" ".join(words))
+        assert hits == n and abs(density - total / max(20, len(words))) < 1e-12
+    long = "not an idiot trash can " * 20_000 + "moron"
+    assert lexicon.density(long)[1] == 1
+
+
+def test_training_rows_are_bounded_by_rows(spark):
+    docs = documents(spark, [(k % 2, f"text {k}") for k in range(2000)])
+    labels = spark.createDataFrame([(k, 1, 1) for k in range(2)], LABELS)
+    assert training_rows(docs, labels, "quality", 10).count() <= 2
+
+
 # --- 2 quality rules -------------------------------------------------------------------------------------------------
 
 
