@@ -168,10 +168,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "hits", t
     return out.withColumn(column, struct).drop(tmp, *[f"{tmp}_{k}" for k in range(len(parts))])
 
 
-def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that are not contaminated, with the columns of ``docs``."""
+def keep(docs: DataFrame, benchmark: DataFrame, any_hit: bool = True) -> DataFrame:
+    """The rows without a benchmark window, with the columns of ``docs``. With any_hit off, rows with fewer hit words than the
+    share that makes them ``contaminated`` stay too: a long document may then hold a whole item."""
     (hits,) = fresh(docs, "hits")
-    return contamination(docs, benchmark, hits).where(~F.col(hits)["contaminated"]).drop(hits)
+    h = F.col(hits)
+    return contamination(docs, benchmark, hits).where(h["n_hit"] == 0 if any_hit else ~h["contaminated"]).drop(hits)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
