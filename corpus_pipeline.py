@@ -34,7 +34,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a twentieth or more of their words in benchmark windows."""
+    """Drops documents that hold a window of a benchmark item, however long they are."""
     ship(spark)
     return decontamination.keep(docs, table(spark, sf_dir, "benchmark"))
 
