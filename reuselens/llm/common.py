@@ -49,6 +49,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bits of a bitmap, a power of two: at most BITS / 64 rows of two numbers are broadcast, whatever the number of ids.
+BITS = 1 << 24
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame, wanted: bool = True) -> DataFrame:
+    """The rows of ``df`` whose id may be in ``ids`` (one column of that name): all that are, and some that are not.
+
+    wanted off: the other rows, whose id is certainly not in ``ids``, rows without id among them. The ids set bits of a bitmap
+    of bounded size, one for each id's hash, which is broadcast; the more ids there are, the more other rows pass.
+    """
+    word, bit, row = fresh(df, "word", "bit", "bits")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bits = (
+        ids.where(F.col(column).isNotNull()).select(place(F.col(column)).alias("p"))
+        .select(F.shiftright("p", 6).alias(word), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b")).groupBy(word).agg(F.bit_or("b").alias(row))
+    )
+    names = [F.col(f"`{c}`") for c in df.columns]
+    at = place(F.col(f"`{column}`"))
+    out = df.withColumn(word, F.when(F.col(f"`{column}`").isNotNull(), F.shiftright(at, 6))).withColumn(bit, at.bitwiseAND(63).cast("int"))
+    out = out.join(F.broadcast(bits), word, "left")
+    is_set = F.coalesce(F.getbit(F.col(row), F.col(bit)) == 1, F.lit(False))
+    return out.where(is_set if wanted else ~is_set).select(*names)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """Whether labels of the row are kept from training: crc32 of the id as text, modulo 3, is 1 (null id: not)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

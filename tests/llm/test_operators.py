@@ -9,7 +9,7 @@ from array import array
 import pytest
 from pyspark.sql import functions as F
 
-from reuselens.llm import chat, decontamination, html_extract, license_scan, near_dedup, quality_classifier, quality_rules, sentencepiece_bpe, textstats, toxicity, url_filter
+from reuselens.llm import chat, common, decontamination, html_extract, license_scan, near_dedup, quality_classifier, quality_rules, sentencepiece_bpe, textstats, toxicity, url_filter
 from reuselens.llm.common import held_out, training_rows
 from reuselens.llm.components import components
 from reuselens.llm.queries import tokenizer_path
@@ -459,6 +459,38 @@ def test_dedup_keeps_one_of_each(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0 and near_dedup.keep(documents(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_node(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(3, words("t")), (5, words("t")), (5, words("u")), (7, words("u")), (7, words("v")), (9, words("v") + " z"), (8, words("x")), (8, words("y"))]
+    got = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in got} == {(i, c) for i, _, c in brute_groups(rows, 5, 80, 100)} == {(3, 3), (5, 3), (7, 3), (9, 3), (8, 8)}
+    assert len(got) == len(rows)
+    # texts that aren't alike stay, once each
+    kept = sorted((x["doc_id"], x["text"]) for x in near_dedup.keep(documents(spark, rows)).collect())
+    assert kept == [(3, words("t")), (5, words("u")), (7, words("v")), (8, words("x")), (8, words("y"))]
+
+
+def test_repeated_row_in_every_partition(spark):
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, words)] * 400 + [(2, words + " more"), (3, "other words")] + [(None, words)] * 5
+    docs = documents(spark, rows).repartition(16)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and {(x["doc_id"], x["component_id"]) for x in got} == {(1, 1), (2, 1), (3, 3), (None, None)}
+    assert sorted(x["doc_id"] or 0 for x in near_dedup.keep(docs).collect()) == [0] * 5 + [1, 3]
+
+
+def test_bitmap_of_ids(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("Word")).union(spark.createDataFrame([(None, "y")], "doc_id bigint, Word string"))
+    ids = spark.range(0, 3000, 7).select(F.col("id").alias("doc_id"))
+    for bits in (64, 1 << 12, 1 << 24):
+        monkeypatch.setattr(common, "BITS", bits)
+        yes, no = (common.maybe_in(df, "doc_id", ids, w) for w in (True, False))
+        assert yes.columns == df.columns
+        yes, no = ([r["doc_id"] for r in x.collect()] for x in (yes, no))
+        assert set(range(0, 3000, 7)) <= set(yes) and None in no and not set(yes) & set(no) and len(yes) + len(no) == 3001
+    assert len(yes) < 450 and common.maybe_in(df, "doc_id", ids.limit(0)).count() == 0
+
+
 def test_dedup_keeps_unlinked_texts_of_one_id(spark):
     words = lambda name: " ".join(f"{name}{i}" for i in range(100))
     rows = [(1, words("a")), (1, words("b")), (1, words("a")), (1, words("b") + " more"), (2, words("c")), (2, words("c")), (3, words("c")), (4, words("d"))]
