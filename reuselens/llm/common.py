@@ -73,6 +73,25 @@ def maybe_in(df: DataFrame, column: str, ids: DataFrame, wanted: bool = True) ->
     return out.where(is_set if wanted else ~is_set).select(*names)
 
 
+#: A key with more rows than HOT, and than 1 / MOST_HOT of all rows, is joined by a broadcast of its one row: at most MOST_HOT rows.
+HOT, MOST_HOT = 1_000, 5_000
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key, and in column ``rows`` how many rows of ``left`` have it.
+
+    The rows of hot keys stay where they are; only the others are shuffled, so no task gets more of one key than HOT or
+    1 / MOST_HOT of all rows.
+    """
+    size = right.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("all"), F.coalesce(F.max(rows), F.lit(0)).alias("most")).first()
+    hot = max(HOT, size["all"] // MOST_HOT)
+    if size["most"] <= hot:
+        return left.join(right.drop(rows), key)
+    heavy = right.where(F.col(rows) > hot).drop(rows)
+    light = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.where(F.col(rows) <= hot).drop(rows), key)
+    return light.union(left.join(F.broadcast(heavy), key).select(*light.columns))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """Whether labels of the row are kept from training: crc32 of the id as text, modulo 3, is 1 (null id: not)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, staged
+from .common import keyed_join, maybe_in, staged
 from .components import components
 from .textstats import shingles
 
@@ -228,13 +228,14 @@ def _with_texts(dealt: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFram
 def near_links(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int, bands: int, rows: int) -> DataFrame:
     """(a, b): links that connect what is linked. nodes: (node, rep, h, n, keys), staged; docs: (doc_id, text, h)."""
     keys = nodes.select("node", F.explode("keys").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader <> most").select("key", "leader")
-    members = keys.join(leaders, "key").select("leader", "node").where("leader <> node").distinct()
+    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most"), F.count("*").alias("rows"))
+    leaders = staged(leaders.where("leader <> most").select("key", "leader", "rows"), "leaders")
+    members = keyed_join(keys, leaders, "key", "rows").select("leader", "node").where("leader <> node").distinct()
     members = staged(members.join(nodes.select("node", "n"), "node"), "members")
     blocks = members.groupBy("leader").agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+        F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("rows")
     )
-    dealt = members.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("node", "leader"), F.col("blocks")).cast("int")).select("leader", "blocks", "block", "node", "n")
+    dealt = keyed_join(members, blocks, "leader", "rows").withColumn("block", F.pmod(F.xxhash64("node", "leader"), F.col("blocks")).cast("int")).select("leader", "blocks", "block", "node", "n")
     heads = dealt.select("leader", "blocks", "block").distinct().withColumn("node", F.col("leader")).withColumn("n", F.lit(0).cast("bigint"))
     size = bands * rows
 
@@ -274,18 +275,18 @@ def _classes(docs: DataFrame, k: int, bands: int, rows: int) -> tuple[DataFrame,
     one = docs.withColumn("s", _sets(F.col("text"), k, bands, rows))
     base = staged(one.select("doc_id", F.col("s.n").alias("n"), F.col("s.digest").alias("digest"), F.col("s.keys").alias("keys"), "h"), "sets")
     linked = base.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    found = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    found = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("rows"))
     # numbers that are unique, and fixed once they are written
-    found = found.select("digest", F.monotonically_increasing_id().alias("node"), F.col("r.doc_id").alias("rep"), F.col("r.h").alias("h"), "n", "keys")
+    found = found.select("digest", F.monotonically_increasing_id().alias("node"), F.col("r.doc_id").alias("rep"), F.col("r.h").alias("h"), "n", "keys", "rows")
     return base.drop("keys"), staged(found, "classes")
 
 
 def _components_of(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(digest, first): of each class the least (rep, digest) of its component."""
+    """(digest, rows, first): of each class its number of rows and the least (rep, digest) of its component."""
     comps = components(edges).join(classes.select("node", F.struct("rep", "digest").alias("own")), "node").select("node", "component", "own")
     least = comps.groupBy("component").agg(F.min("own").alias("first"))
     in_groups = comps.join(least, "component").select(F.col("own.digest").alias("digest"), "first")
-    return classes.select("digest", "rep").join(in_groups, "digest", "left").select("digest", F.coalesce("first", F.struct("rep", "digest")).alias("first"))
+    return classes.select("digest", "rows", "rep").join(in_groups, "digest", "left").select("digest", "rows", F.coalesce("first", F.struct("rep", "digest")).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -303,8 +304,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     several = linked.groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("doc_id")
     of_id = linked.select("doc_id", "digest").join(several, "doc_id").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node")
     edges = edges.union(of_id.join(of_id.groupBy("doc_id").agg(F.min("node").alias("least")), "doc_id").select("node", "least"))
-    of_class = _components_of(classes, edges).select("digest", F.col("first.rep").alias("component_id"))
-    out = linked.select("doc_id", "n", "digest").join(of_class, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    of_class = _components_of(classes, edges).select("digest", "rows", F.col("first.rep").alias("component_id"))
+    out = keyed_join(linked.select("doc_id", "n", "digest"), staged(of_class, "verdicts"), "digest", "rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     out = out.union(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -316,10 +317,10 @@ def keep(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     base, classes = _classes(texts, k, bands, rows)
-    of_class = _components_of(classes, near_links(texts, classes.drop("digest"), k, num, den, bands, rows))
+    of_class = staged(_components_of(classes, near_links(texts, classes.drop("digest"), k, num, den, bands, rows)), "verdicts")
     linked = base.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     first = F.struct(F.col("doc_id").alias("rep"), "digest") == F.col("first")
-    verdicts = linked.select("doc_id", "digest").join(of_class, "digest").select("doc_id", first.cast("int").alias("kept"))
+    verdicts = keyed_join(linked.select("doc_id", "digest"), of_class, "digest", "rows").select("doc_id", first.cast("int").alias("kept"))
     verdicts = verdicts.union(base.where(F.col("digest").isNull() & F.col("doc_id").isNotNull()).select("doc_id", F.lit(1)))
     # ids whose rows do not simply all stay
     ids = staged(verdicts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("kept").alias("kept")).where("n > 1 OR kept = 0"), "dropped")

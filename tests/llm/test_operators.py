@@ -80,7 +80,9 @@ def test_held_out_and_training_rows(spark):
     assert training_rows(docs, labels.limit(0), "quality").count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [1_000, 8])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)  # joins of hot nodes too
     r = random.Random(5)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2200)] + [(5, 5), (None, 3)]
     up = {}
@@ -437,6 +439,7 @@ def near_corpus(seed, groups=25, extra=30):
 def test_groups_equal_brute_force(spark, monkeypatch, k, num):
     texts = near_corpus(11 + k) + ODD
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 3)  # several blocks within groups
+    monkeypatch.setattr(common, "HOT", 4)
     got = near_dedup.near_duplicates(documents(spark, texts).repartition(4), k, num, 100).collect()
     assert {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in got} == brute_groups(texts, k, num, 100)
     assert len(got) == len(texts) and all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
