@@ -376,25 +376,22 @@ def min_next_use(spark: SparkSession, sf: str) -> DataFrame:
     return optimum.next_use(_requests(spark, sf)).select("pos", "key", "next_pos")
 
 
-PREFIX, MIN_CAPACITY = 1000, 32
+MIN_CAPACITY = 32
 
 
 def _min_sql(capacity: int) -> str:
-    """Residents as a list of next use and key; the furthest goes."""
-    return f"""WITH RECURSIVE {PLACED}, n AS (SELECT pos, key, coalesce(lead(pos) OVER (PARTITION BY key ORDER BY pos), 1000000 + pos) AS u FROM p WHERE pos <= {PREFIX}),
-r AS (
-  SELECT 0::BIGINT AS pos, 0::BIGINT AS hits, []::STRUCT(u BIGINT, k BIGINT)[] AS res
-  UNION ALL
-  SELECT n.pos, r.hits + CASE WHEN len(list_filter(r.res, lambda x: x.k = n.key)) > 0 THEN 1 ELSE 0 END,
-    list_append(CASE WHEN len(list_filter(r.res, lambda x: x.k = n.key)) > 0 THEN list_filter(r.res, lambda x: x.k <> n.key)
-      WHEN len(r.res) >= {capacity} THEN list_sort(r.res)[1:{capacity} - 1] ELSE r.res END, {{'u': n.u, 'k': n.key}})
-  FROM r JOIN n ON n.pos = r.pos + 1
-) SELECT max(pos) AS requests, max(hits) AS hits FROM r"""
+    """A fold over the requests: residents as a list of next use and key; the furthest goes."""
+    return f"""WITH {PLACED}, n AS (SELECT pos, key, coalesce(lead(pos) OVER (PARTITION BY key ORDER BY pos), 1000000000 + pos) AS u FROM p),
+f AS (SELECT count(*) AS requests, list_reduce(list({{'k': key, 'u': u, 'hits': 0::BIGINT, 'res': []::STRUCT(u BIGINT, k BIGINT)[]}} ORDER BY pos),
+  lambda a, x: {{'k': x.k, 'u': x.u, 'hits': a.hits + CASE WHEN len(list_filter(a.res, lambda y: y.k = x.k)) > 0 THEN 1 ELSE 0 END,
+    'res': list_append(CASE WHEN len(list_filter(a.res, lambda y: y.k = x.k)) > 0 THEN list_filter(a.res, lambda y: y.k <> x.k)
+      WHEN len(a.res) >= {capacity} THEN list_sort(a.res)[1:{capacity} - 1] ELSE a.res END, {{'u': x.u, 'k': x.k}})}},
+  {{'k': 0::BIGINT, 'u': 0::BIGINT, 'hits': 0::BIGINT, 'res': []::STRUCT(u BIGINT, k BIGINT)[]}}) AS s FROM n)
+SELECT requests, s.hits AS hits FROM f"""
 
 
 @query(_min_sql(MIN_CAPACITY))
 def min_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """The optimum over the whole trace. The SQL's list of residents is slow and ends at PREFIX, so the two agree on traces up to that only."""
     return optimum.optimum(_requests(spark, sf), MIN_CAPACITY).select("requests", "hits")
 
 
@@ -432,22 +429,36 @@ def sim_lru(spark: SparkSession, sf: str) -> DataFrame:
     return simulator.simulate(_unit_requests(spark, sf), "lru", UNIT).select("pos", "key", "hit")
 
 
-_LFU = f"""WITH RECURSIVE {PLACED}, r AS (
-  SELECT 0::BIGINT AS pos, NULL::BIGINT AS key, false AS hit, []::STRUCT(n BIGINT, k BIGINT)[] AS res
-  UNION ALL
-  SELECT p.pos, p.key, len(list_filter(r.res, lambda x: x.k = p.key)) > 0,
-    CASE WHEN len(list_filter(r.res, lambda x: x.k = p.key)) > 0 THEN list_transform(r.res, lambda x: CASE WHEN x.k = p.key THEN {{'n': x.n + 1, 'k': x.k}} ELSE x END)
-      ELSE list_append(CASE WHEN len(r.res) >= {MIN_CAPACITY} THEN list_sort(r.res)[2:] ELSE r.res END, {{'n': 1::BIGINT, 'k': p.key}}) END
-  FROM r JOIN p ON p.pos = r.pos + 1 WHERE p.pos <= {PREFIX}
-) SELECT pos, key, hit FROM r WHERE pos > 0"""
+# a fold: residents as a list of uses and key, the least goes; whether each request hit
+_LFU = f"""WITH {PLACED}, f AS (SELECT list(pos ORDER BY pos) AS ps, list(key ORDER BY pos) AS ks,
+  list_reduce(list({{'k': key, 'hit': []::BOOLEAN[], 'res': []::STRUCT(n BIGINT, k BIGINT)[]}} ORDER BY pos),
+  lambda a, x: {{'k': x.k, 'hit': list_append(a.hit, len(list_filter(a.res, lambda y: y.k = x.k)) > 0),
+    'res': CASE WHEN len(list_filter(a.res, lambda y: y.k = x.k)) > 0 THEN list_transform(a.res, lambda y: CASE WHEN y.k = x.k THEN {{'n': y.n + 1, 'k': y.k}} ELSE y END)
+      ELSE list_append(CASE WHEN len(a.res) >= {MIN_CAPACITY} THEN list_sort(a.res)[2:] ELSE a.res END, {{'n': 1::BIGINT, 'k': x.k}}) END}},
+  {{'k': 0::BIGINT, 'hit': []::BOOLEAN[], 'res': []::STRUCT(n BIGINT, k BIGINT)[]}}) AS s FROM p)
+SELECT unnest(ps) AS pos, unnest(ks) AS key, unnest(s.hit) AS hit FROM f"""
 
 
 @query(_LFU)
 def sim_lfu(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole trace; the SQL ends at PREFIX."""
     return simulator.simulate(_unit_requests(spark, sf), "lfu", MIN_CAPACITY).select("pos", "key", "hit")
 
 
+# a key is resident from a get or put on until it is deleted: there is room for all, and an object's size depends on its key
+_OPERATIONS = f"""{PLACED}, o AS (SELECT pos, key, key % 50 + 1 AS size_bytes, CASE WHEN pos % 11 = 0 THEN 'delete' WHEN pos % 7 = 0 THEN 'put' ELSE 'get' END AS op FROM p),
+b AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY key ORDER BY pos) <> 'delete', false) AS resident FROM o)"""
+
+
+@query(f"""WITH {_OPERATIONS} SELECT pos, key, op, op <> 'put' AND resident AS hit,
+  CAST(sum(CASE WHEN op = 'delete' THEN CASE WHEN resident THEN -size_bytes ELSE 0 END WHEN resident THEN 0 ELSE size_bytes END) OVER (ORDER BY pos) AS BIGINT) AS used_bytes FROM b""")
+def sim_operations(spark: SparkSession, sf: str) -> DataFrame:
+    """Gets, puts and deletes (T5, T6); a delete's hit is whether the key was there."""
+    pos = F.col("pos")
+    op = F.when(pos % 11 == 0, "delete").when(pos % 7 == 0, "put").otherwise("get")
+    requests = _requests(spark, sf).withColumn("op", op).withColumn("size_bytes", F.col("key") % 50 + 1)
+    return simulator.simulate(requests, "lru", 1 << 40).join(requests.select("pos", "op"), "pos").select("pos", "key", "op", "hit", "used_bytes")
+
+
 @query()
 def sim_s3fifo(spark: SparkSession, sf: str) -> DataFrame:
     return simulator.totals(simulator.simulate(_requests(spark, sf), "s3fifo", 1 << 20, shards=8))
@@ -510,12 +521,12 @@ def hit_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.derived(stats.merge(_node_stats(spark, sf), "cluster")).select("cluster", "object_hit", "byte_hit", "evictions_per_request", "mean_size", "capacity_objects"))
 
 
-@query(f"""WITH {NODE_STATS}, s AS (SELECT cluster AS seq, * EXCLUDE (cluster, node), 'one' AS node FROM n WHERE node IN ('node-1','node-2','node-3','node-4','node-5','node-6','node-7')),
+@query(f"""WITH {NODE_STATS}, s AS (SELECT CAST(substr(node, 6) AS BIGINT) AS seq, * EXCLUDE (cluster, node), CAST(cluster AS VARCHAR) AS node FROM n),
 d AS (SELECT node, seq, {', '.join(f'{c} - lag({c}) OVER w AS {c}' for c in stats.COUNTERS)}, objects, bytes_used, capacity_bytes FROM s WINDOW w AS (PARTITION BY node ORDER BY seq)),
 e AS (SELECT *, least({', '.join(stats.COUNTERS)}) < 0 AS restarted FROM d WHERE hits IS NOT NULL)
 SELECT *, CAST(CASE WHEN restarted OR evict_samples = 0 THEN 0 ELSE evict_ns_sum // evict_samples END AS BIGINT) AS evict_ns_mean FROM e""")
 def stats_delta(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters as nodes, whose snapshots are all of their suppliers by number; the SQL has seven suppliers as one node."""
+    """Clusters as nodes, whose snapshots are all of their suppliers by number."""
     snapshots = _node_stats(spark, sf).withColumn("seq", F.substring_index("node", "-", -1).cast("bigint"))
     return stats.window_delta(snapshots.withColumn("node", F.col("cluster").cast("string")))
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,16 +213,104 @@ def test_learned_policy_uses_the_model():
         assert s.insert(9, 100, 100)[1] == [victim]
 
 
-def test_main_queue_ignores_stale_slots():
+def test_a_replaced_key_loses_its_place_in_the_main_queue():
     q = simulator.ThreeQueues(1000)
     entries = {k: simulator.Entry(k, 100, 0, 0) for k in (1, 2)}
-    q.on_admit(entries[1])
+    for k in (1, 2):
+        q.remember(k)
+        q.on_admit(entries[k])
     q.on_remove(entries[1])
-    q.ghosts[2] = None
-    q.on_admit(entries[2])
-    q.ghosts[1] = None
+    q.remember(1)
     q.on_admit(entries[1])
-    assert q.victim(entries, 0) == 2
+    assert list(q.main) == [2, 1] and q.victim(entries, 0) == 2
+
+
+class PlainThreeQueues:
+    """The published algorithm on lists of [key, uses]; every departure of the small queue is kept, and searched."""
+
+    def __init__(self, capacity):
+        self.capacity, self.small, self.main, self.departed, self.sizes = capacity, [], [], [], {}
+
+    def used(self):
+        return sum(self.sizes.values())
+
+    def drop(self, key):
+        self.small = [x for x in self.small if x[0] != key]
+        self.main = [x for x in self.main if x[0] != key]
+        self.sizes.pop(key, None)
+
+    def evict(self):
+        while True:
+            waiting = sum(self.sizes[k] for k, _ in self.small)
+            if self.small and (waiting >= max(1, self.capacity // 10) or not self.main):
+                key, uses = self.small.pop(0)
+                if uses:
+                    self.main.append([key, 0])
+                    continue
+                self.departed.append(key)
+            else:
+                key, uses = self.main.pop(0)
+                if uses:
+                    self.main.append([key, uses - 1])
+                    continue
+            del self.sizes[key]
+            return
+
+    def insert(self, key, size):
+        if size > self.capacity:
+            return
+        self.drop(key)
+        while self.used() + size > self.capacity:
+            self.evict()
+        recent = self.departed[-max(16, self.capacity // 1024) :]
+        back = key in recent
+        # a departure that was answered by a return counts in the memory's length only
+        self.departed = [None if k == key else k for k in self.departed]
+        (self.main if back else self.small).append([key, 0])
+        self.sizes[key] = size
+
+    def get(self, key, size):
+        for x in self.small + self.main:
+            if x[0] == key:
+                x[1] = min(3, x[1] + 1)
+                return True
+        self.insert(key, size)
+        return False
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_three_queues_against_the_plain_algorithm(seed):
+    r = random.Random(seed)
+    capacity = r.choice([60, 200, 1000])
+    plain, shard = PlainThreeQueues(capacity), simulator.Shard(capacity, simulator.policy("s3fifo", capacity))
+    for now in range(4000):
+        key = min(int(r.paretovariate(0.7)), 90) if r.random() < 0.8 else r.randint(100, 400)
+        size = 1 + key * 7 % 19
+        what = r.random()
+        if what < 0.03:
+            assert shard.delete(key) == (key in plain.sizes)
+            plain.drop(key)
+        elif what < 0.08:
+            shard.insert(key, size, now, after_miss=False)
+            plain.insert(key, size)
+        else:
+            hit = shard.get(key, now)
+            if not hit:
+                shard.insert(key, size, now)
+            assert hit == plain.get(key, size), now
+        assert shard.used == plain.used() and set(shard.entries) == set(plain.sizes)
+
+
+def test_scan_resistance():
+    """Of a working set in use, more outlives a scan under S3-FIFO than under LRU."""
+    left = {}
+    for name in ("lru", "s3fifo"):
+        shard = simulator.Shard(1 << 20, simulator.policy(name, 1 << 20, 1 << 30))
+        for now, key in enumerate([k for _ in range(5) for k in range(800)] + list(range(10_000, 14_000))):
+            if not shard.get(key, now):
+                shard.insert(key, 512, now)
+        left[name] = sum(k in shard.entries for k in range(800))
+    assert left["s3fifo"] > left["lru"]
 
 
 def test_ring_properties(spark):
