@@ -2,13 +2,18 @@
 
 A rule holds for a host and its subdomains if the path starts with the rule's path; of several the longest wins. Pages without
 a rule of their own take the decision of their aliases: URLs that are connected by redirects (a table of edges, or a page's
-refresh), by canonical links, or by forms of writing that servers treat alike (scheme, www. or m., trailing slash, fragment,
-tracking parameters). Components are found by distributed rounds. In a component an explicit allow of any alias goes before
-a block of any alias; without either the verdict is allow.
+refresh) and by canonical links. Components are found by distributed rounds. In a component an explicit allow of any alias goes
+before a block of any alias; without either the verdict is allow. Links count as in a browser: in the head, outside comments,
+scripts, styles, templates and the like; a tag ends at its first >.
+
+A URL is the same with scheme and host in any case, with or without a fragment, and with / for an empty path; no other forms are
+taken as equal. Edges for other ways of writing (www. or m., trailing slash, tracking parameters) are made by ``writing_edges``
+for callers who want them.
 
 Defined cases: null URLs and URLs without :// have an empty host and path, fit no rule, are no alias of anything, and are
-allowed; null html has no links; ids may be null or repeated, rows stay rows; other columns are ignored; an empty table gives no
-rows. Rules are compiled into the plan; more than MAX_RULES are refused.
+allowed; null html has no links; very long pages are searched as a whole; ids may be null or repeated, rows stay rows; equally
+long rules go by their text; other columns are ignored; an empty table gives no rows. Rules are compiled into the plan; more than
+MAX_RULES are refused.
 """
 
 from __future__ import annotations
@@ -55,22 +60,30 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def parsed(url: Column) -> Column:
-    """Struct of host, path and alias: the form in which equivalent ways of writing agree, null without a host."""
+    """Struct of host, path and node: the URL in the form in which equal ones agree, null without a host."""
 
     def parts(rest: Column) -> Column:
         host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER)
-        query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
-        kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike(rf"^{TRACKING}=")), "&")
-        return F.struct(host.alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), kept.alias("query"))
+        return F.struct(host.alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1).alias("query"))
 
     def form(p: Column) -> Column:
-        path = F.regexp_replace(p["path"], r"(?:/index\.html?)?/*$", "")
-        alias = F.concat(F.regexp_replace(p["host"], r"^(?:www|m)\.", ""), path, F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(F.lit("")))
-        return F.struct(p["host"].alias("host"), p["path"].alias("path"), F.when(p["host"] != "", alias).alias("alias"))
+        scheme = F.translate(F.substring_index(url, "://", 1), UPPER, LOWER)
+        node = F.concat(scheme, F.lit("://"), p["host"], F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]), p["query"])
+        return F.struct(p["host"].alias("host"), p["path"].alias("path"), F.when(p["host"] != "", node).alias("node"))
 
     return _let(_let(_rest(url), parts), form)
 
 
+def writing_edges(urls: DataFrame) -> DataFrame:
+    """(src, dst): from each URL (column url) to a form without scheme, www. or m., index page, trailing slash and tracking parameters."""
+    at = parsed(F.col("url"))
+    query = F.split(F.regexp_extract(at["node"], r"^[^?]*\?(.*)", 1), "&")
+    kept = F.array_join(F.filter(query, lambda p: (p != "") & ~p.rlike(rf"^{TRACKING}=")), "&")
+    path = F.regexp_replace(at["path"], r"(?:/index\.html?)?/*$", "")
+    form = F.concat(F.lit("form://"), F.regexp_replace(at["host"], r"^(?:www|m)\.", ""), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
+    return urls.select(F.col("url").alias("src"), F.when(at["node"].isNotNull(), form).alias("dst")).where("dst IS NOT NULL")
+
+
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Struct of the text and verdict of the longest rule that fits (of equal ones the first by text), else null."""
     if len(rules) > MAX_RULES:
@@ -97,15 +110,32 @@ def _resolved(link: Column, url: Column) -> Column:
     )
 
 
+#: What a browser takes no link from: comments, and elements whose content is no markup of the page. Fixed values.
+INERT = ("script", "style", "template", "noscript", "title", "textarea")
+#: Without an end, each reaches to the end of the page.
+_HIDDEN = "|".join(["<!--(?:.*?-->|.*)", *(rf"<{name}\b(?:.*?</{name}\s*>|.*)" for name in INERT)])
+_TAG = r"<(?:link|meta)\b[^>]*>"
+_PAIR = r"""[^\s"'>/=]{1,64}\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _attribute(pairs: Column, name: str) -> Column:
+    """The value of the first attribute of that name, else null."""
+    mine = F.get(F.filter(pairs, lambda p: p.rlike(rf"(?is)^{name}\s*=")), F.lit(0))
+    return F.regexp_replace(F.regexp_replace(mine, r"^[^=]*=\s*", ""), r"""^["']|["']$""", "")
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(url, target): pages, and what their canonical links and refreshes lead to."""
-    rel, href = r"""(?is)\brel\s*=\s*["']?\s*canonical\b""", r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    go, to = r"""(?is)\bhttp-equiv\s*=\s*["']?\s*refresh\b""", r"""(?is)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*['"]?([^"'>]+)"""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    tag = F.explode(F.filter(tags, lambda x: x.rlike(rel) | x.rlike(go))).alias("tag")
-    some = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", tag)
-    link = F.when(F.col("tag").rlike(rel), F.concat(*[F.regexp_extract("tag", href, k) for k in (1, 2, 3)])).otherwise(F.regexp_extract("tag", to, 1))
-    return some.select("url", _resolved(link, F.col("url")).alias("target"))
+    """(url, target): pages, and what the canonical links and refreshes of their heads lead to."""
+    some = pages.where(F.col("html").rlike("(?i)canonical|refresh"))
+    head = F.regexp_replace(F.regexp_replace("html", rf"(?is){_HIDDEN}", " "), r"(?is)(?:</head\s*>|<body\b).*", "")
+    tags = F.explode(F.regexp_extract_all(head, F.lit(rf"(?is){_TAG}"), F.lit(0))).alias("tag")
+    x = some.select("url", tags).select("url", "tag", F.regexp_extract_all("tag", F.lit(_PAIR), F.lit(0)).alias("pairs"))
+    pairs, is_link = F.col("pairs"), F.col("tag").rlike(r"(?i)^<link")
+    rel = F.split(F.lower(_attribute(pairs, "rel")), r"\s+")
+    canonical = F.when(is_link & F.array_contains(rel, "canonical"), _attribute(pairs, "href"))
+    refresh = F.when(~is_link & (F.lower(F.trim(_attribute(pairs, "http-equiv"))) == "refresh"), F.regexp_extract(_attribute(pairs, "content"), r"""(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["']?([^"']+)""", 1))
+    link = F.coalesce(canonical, refresh)
+    return x.select("url", link.alias("link")).where("link <> ''").select("url", _resolved(F.col("link"), F.col("url")).alias("target"))
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -116,18 +146,17 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFra
         links = links.union(redirects.select("src", "dst"))
     ruled = lambda url: _let(parsed(url), lambda p: F.struct(p.alias("at"), rule_of(p["host"], p["path"], rules).alias("r")))
     edges = links.select(ruled(F.col("url")).alias("x"), ruled(F.col("target")).alias("y"))
-    comps = components(edges.select(F.col("x.at.alias").alias("a"), F.col("y.at.alias").alias("b")))
-    rows = pages.select("page_id", ruled(F.col("url")).alias("x")).select("page_id", "x.at.host", "x.at.path", "x.at.alias", "x.r")
-    # one row per alias form before anything is joined
-    decided = rows.select("alias", "r").union(edges.select("x.at.alias", "x.r")).union(edges.select("y.at.alias", "y.r"))
-    explicit = decided.where("r IS NOT NULL AND alias IS NOT NULL").groupBy("alias").agg(F.max(F.col("r.verdict") == "allow").alias("allow"))
-    by_comp = explicit.join(comps, explicit["alias"] == comps["node"], "left").groupBy(F.coalesce("component", "alias").alias("component")).agg(F.max("allow").alias("allow"))
-    inherited = by_comp.select(F.col("component").alias("c"), F.when(F.col("allow"), "allow").otherwise("block").alias("inherited"))
-    own = rows.where("r IS NOT NULL").select("page_id", "host", "path", F.col("r.text").alias("rule"), F.col("r.verdict").alias("verdict"))
-    free = rows.where("r IS NULL AND alias IS NOT NULL").join(comps, F.col("alias") == F.col("node"), "left").withColumn("c", F.coalesce("component", "alias"))
-    free = free.join(inherited, "c", "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("inherited", F.lit("allow")).alias("verdict"))
-    none = rows.where("r IS NULL AND alias IS NULL").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    return own.union(free).union(none)
+    comps = components(edges.select(F.col("x.at.node").alias("a"), F.col("y.at.node").alias("b"))).withColumnRenamed("node", "url_node")
+    rows = pages.select("page_id", ruled(F.col("url")).alias("x")).select("page_id", "x.at.host", "x.at.path", "x.at.node", "x.r")
+    # only URLs that are in a component can give or take a decision
+    decided = edges.select("x.at.node", "x.r").union(edges.select("y.at.node", "y.r"))
+    explicit = decided.where("r IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.max(F.col("r.verdict") == "allow").alias("allow"))
+    by_comp = explicit.join(comps, F.col("node") == F.col("url_node")).groupBy("component").agg(F.max("allow").alias("allow"))
+    inherited = by_comp.select("component", F.when(F.col("allow"), "allow").otherwise("block").alias("inherited"))
+    taken = comps.join(inherited, "component").select("url_node", "inherited")
+    ask = F.when(F.col("r").isNull(), F.col("node"))  # null for rows that have a rule: they ask nobody
+    out = rows.withColumn("ask", ask).join(taken, F.col("ask") == F.col("url_node"), "left")
+    return out.select("page_id", "host", "path", F.col("r.text").alias("rule"), F.coalesce("r.verdict", "inherited", F.lit("allow")).alias("verdict"))
 
 
 def query(pages: DataFrame) -> DataFrame:
@@ -146,31 +175,44 @@ def _sql_path(u: str) -> str:
     return f"regexp_extract({_sql_rest(u)}, '^[^/?#]*([^?#]*)', 1)"
 
 
-def _sql_alias(u: str) -> str:
-    host = rf"regexp_replace({_sql_host(u)}, '^(?:www|m)\.', '')"
-    path = rf"regexp_replace({_sql_path(u)}, '(?:/index\.html?)?/*$', '')"
-    # RE2 has no look-behind: parameters are filtered as a list
-    query = rf"array_to_string(list_filter(string_split(regexp_extract({_sql_rest(u)}, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: NOT regexp_matches(p, '^{TRACKING}=')), '&')"
-    return f"CASE WHEN {host} <> '' THEN {host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
+def _sql_node(u: str) -> str:
+    scheme = f"translate(split_part({u}, '://', 1), '{UPPER}', '{LOWER}')"
+    path = f"CASE WHEN {_sql_path(u)} = '' THEN '/' ELSE {_sql_path(u)} END"
+    return rf"CASE WHEN {_sql_host(u)} <> '' THEN {scheme} || '://' || {_sql_host(u)} || {path} || regexp_extract({_sql_rest(u)}, '^[^?#]*(\?[^#]*)', 1) END"
+
+
+def _sql_attribute(name: str) -> str:
+    mine = rf"list_filter(pairs, lambda p: regexp_matches(p, '(?is)^{name}\s*='))[1]"
+    return rf"""regexp_replace(regexp_replace({mine}, '^[^=]*=\s*', ''), '^["'']|["'']$', '', 'g')"""
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
-    """Rules, alias forms and absolute canonical links; components by repeated minima over the edges."""
+    """Rules, and components by repeated minima over the edges of canonical links and refreshes in heads."""
     ordered = sorted(rules, key=lambda r: (-len(r.text), r.text))
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, what)}'" for r in ordered) + " END"
-    link = r"""regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*.?canonical[^>]*>'), '(?is)\bhref\s*=\s*"([^"]*)"', 1)"""
-    return f"""
+    quoted = lambda pattern: pattern.replace("'", "''")
+    base = f"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) || '://' || {_sql_host('url')}"
+    absolute = f"""CASE WHEN strpos(link, '://') > 0 THEN link WHEN starts_with(link, '//') THEN split_part(url, '://', 1) || ':' || link
+      WHEN starts_with(link, '/') THEN {base} || link ELSE {base} || regexp_extract({_sql_path('url')}, '^(.*/)?') || link END"""
+    return rf"""
 WITH RECURSIVE p AS (
-  SELECT page_id, {_sql_host('url')} AS host, {_sql_path('url')} AS path, {_sql_alias('url')} AS alias, {link} AS link FROM pages
+  SELECT page_id, {_sql_host('url')} AS host, {_sql_path('url')} AS path, {_sql_node('url')} AS node FROM pages
 ), r AS (
   SELECT *, {case('text')} AS rule, {case('verdict')} AS own FROM p
-), l AS (
-  SELECT {_sql_host('link')} AS host, {_sql_path('link')} AS path, {_sql_alias('link')} AS alias FROM p WHERE link <> ''
-), q AS (
-  SELECT alias, own FROM r UNION ALL SELECT alias, {case('verdict')} FROM l
+), h AS (
+  SELECT url, regexp_replace(regexp_replace(html, '(?is){quoted(_HIDDEN)}', ' ', 'g'), '(?is)(?:</head\s*>|<body\b).*', '') AS head FROM pages WHERE regexp_matches(html, '(?i)canonical|refresh')
+), g AS (
+  SELECT url, tag, regexp_extract_all(tag, '{quoted(_PAIR)}') AS pairs FROM (SELECT url, unnest(regexp_extract_all(head, '(?is){quoted(_TAG)}')) AS tag FROM h)
+), k AS (
+  SELECT url, replace(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN CASE WHEN list_contains(regexp_split_to_array(lower({_sql_attribute('rel')}), '\s+'), 'canonical') THEN {_sql_attribute('href')} END
+    WHEN lower(trim({_sql_attribute('http-equiv')})) = 'refresh' THEN regexp_extract({_sql_attribute('content')}, '(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["'']?([^"'']+)', 1) END, '&amp;', '&') AS link FROM g
+), t AS (
+  SELECT url, {absolute} AS target FROM (SELECT url, trim(link) AS link FROM k) WHERE link <> ''
 ), e AS (
-  SELECT DISTINCT alias AS a, {_sql_alias('link')} AS b FROM p WHERE link <> ''
+  SELECT DISTINCT {_sql_node('url')} AS a, {_sql_node('target')} AS b FROM t
+), q AS (
+  SELECT node, own FROM r UNION ALL SELECT node, {case('verdict')} FROM (SELECT {_sql_host('target')} AS host, {_sql_path('target')} AS path, {_sql_node('target')} AS node FROM t)
 ), b AS (
   SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL
 ), reach AS (
@@ -178,8 +220,8 @@ WITH RECURSIVE p AS (
 ), comp AS (
   SELECT node, min(other) AS component FROM reach GROUP BY node
 ), d AS (
-  SELECT coalesce(component, alias) AS c, bool_or(own = 'allow') AS allow FROM q LEFT JOIN comp ON alias = node WHERE own IS NOT NULL AND alias IS NOT NULL GROUP BY 1
+  SELECT component, bool_or(own = 'allow') AS allow FROM q JOIN comp USING (node) WHERE own IS NOT NULL GROUP BY 1
 )
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN d.allow THEN 'allow' WHEN NOT d.allow THEN 'block' END, 'allow') AS verdict
-FROM r LEFT JOIN comp ON alias = node LEFT JOIN d ON d.c = coalesce(component, alias)
+FROM r LEFT JOIN comp USING (node) LEFT JOIN d USING (component)
 """

@@ -283,11 +283,14 @@ def test_pieces_edge_cases(spark, library):
 PAGES = "page_id bigint, url string, html string"
 
 
+def link(u):
+    return f'<html><head><link href="{u}" rel="canonical"></head>'
+
+
 def test_url_rules_and_aliases(spark):
-    link = lambda u: f'<html><head><link href="{u}" rel="canonical"></head>'
     rows = [
         (1, "http://a.net/x", None), (2, "http://net", ""), (3, "http://www.Example.NET/en/1?q", ""), (4, "http://example.net/english", ""), (5, "http://x.org/fr/1", ""), (6, "http://m.example.com/de/9", ""),
-        (7, "http://free.org/en/1", link("http://a.net/x/#top")), (8, "https://free.org/en/1/?utm_source=z", ""), (9, "http://alias.com/1", link("//two.com/2")),
+        (7, "http://free.org/en/1", link("http://A.net/x#top")), (8, "HTTP://Free.org/en/1#z", ""), (9, "http://alias.com/1", link("//two.com/2")),
         (10, "http://two.com/2", '<meta http-equiv="refresh" content="0; url=http://y.org/fr/2">'), (11, "http://three.com/3", link("http://a.net/x")), (12, "http://three.com/3#a", link("http://z.org/fr/1")),
         (13, None, None), (14, "no scheme", link("http://a.net/x")), (15, "://", ""), (16, "http://notnet/", ""), (1, "http://a.net/x", None),
     ]
@@ -299,13 +302,51 @@ def test_url_rules_and_aliases(spark):
 
 
 def test_blocks_reach_aliases(spark):
-    rows = [(1, "http://a.net/x", ""), (2, "http://b.com/1", '<link rel="canonical" href="http://c.com/2">'), (3, "http://www.c.com/2/", ""), (4, "http://d.com/", "")]
+    rows = [(1, "http://a.net/x", ""), (2, "http://b.com/1", '<link rel="canonical" href="http://c.com/2">'), (3, "http://c.com/2#end", ""), (4, "http://d.com/", ""), (5, "http://www.c.com/2/", ""), (6, "https://c.com/2", "")]
     moved = spark.createDataFrame([("http://c.com/2", "http://a.net/x"), (None, "x")], "src string, dst string")
-    got = {x["page_id"]: x["verdict"] for x in url_filter.judged(spark.createDataFrame(rows, PAGES), redirects=moved).collect()}
-    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
+    pages = spark.createDataFrame(rows, PAGES)
+    got = {x["page_id"]: x["verdict"] for x in url_filter.judged(pages, redirects=moved).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}  # other ways of writing are no edges
+    asked = url_filter.judged(pages, redirects=moved.union(url_filter.writing_edges(pages))).collect()
+    assert {x["page_id"] for x in asked if x["verdict"] == "block"} == {1, 2, 3, 5, 6}
     assert url_filter.query(spark.createDataFrame([], PAGES)).count() == 0
 
 
+NO_LINKS = [
+    '<head><!-- <link rel="canonical" href="{u}"> --></head>', "<head><script>'<link rel=canonical href={u}>'</script></head>", '<head></head><body><link rel="canonical" href="{u}">', '<head><template><link rel="canonical" href="{u}"></template>',
+    '<body><p><link rel="canonical" href="{u}">', '<head><title><link rel="canonical" href="{u}"></title>', '<head><link rel="noncanonical" href="{u}">', '<head><link title="rel=canonical" href="{u}">', '<head><!-- <link rel="canonical" href="{u}">',
+    '<head><meta name="refresh" content="0;url={u}">', '<head><link rel="canonical" data-href="{u}">', '<head><style><link rel="canonical" href="{u}"></style>',
+]
+LINKS = [
+    '<head><link rel="canonical" href="{u}">', "<HEAD><LINK HREF='{u}' REL=Canonical /></HEAD>", '<head><!-- x --><link\nhref={u} rel="alternate canonical"></head>', '<meta http-equiv="Refresh" content="5; URL=\'{u}\'">',
+    '<head><script>"</head>"</script><link rel="canonical" href=" {u} ">',
+]
+
+
+def test_links_are_those_of_the_head(spark):
+    """Against a parse by hand of each form, and against the SQL."""
+    import duckdb
+
+    pages = [(k, f"http://from{k}.com/{k}", t.format(u="http://bad.net/x")) for k, t in enumerate(NO_LINKS + LINKS)]
+    df = spark.createDataFrame(pages, PAGES)
+    got = {x["page_id"]: x["verdict"] for x in url_filter.query(df).collect()}
+    assert got == {k: "allow" if k < len(NO_LINKS) else "block" for k in got}, got
+    # more pages, with chains and relative links
+    r = random.Random(3)
+    hosts = ["a.net", "b.com", "c.org", "example.net", "d.com"]
+    for k in range(200):
+        target = r.choice([f"http://{r.choice(hosts)}/{r.choice(['en', 'fr', 'de'])}/{r.randint(0, 40)}", f"/en/{r.randint(0, 40)}", f"{r.randint(0, 40)}?q=1&amp;z", f"//{r.choice(hosts)}/fr/{r.randint(0, 40)}"])
+        pages.append((100 + k, f"http://{r.choice(hosts)}/{r.choice(['en', 'fr'])}/{r.randint(0, 40)}", r.choice(NO_LINKS + 6 * LINKS).replace("{u}", target)))
+    pages += [(900, None, None), (901, "x", link("http://a.net/")), (902, "http://A.net", None)]
+    df = spark.createDataFrame(pages, PAGES)
+    engine = duckdb.connect()
+    engine.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    engine.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    want = engine.execute(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.oracle()})").fetchall()
+    assert sorted(tuple(x) for x in url_filter.query(df).select("page_id", "host", "path", "rule", "verdict").collect()) == sorted(want)
+    assert {x[4] for x in want if x[3] is None} == {"allow", "block"}
+
+
 # --- 6 decontamination -----------------------------------------------------------------------------------------------
 
 ITEMS = "item_id bigint, text string"
