@@ -59,7 +59,9 @@ _CUE = {w: kind for kind, words in CUES.items() for w in words}
 #: Of several cues the first in this order holds.
 _ORDER = ("advert", "comment", "notice", "menu", "form", "share", "frame", "article")
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^<>]*\Z", re.S)
+#: Where markup may begin, the name of a tag, and within a tag what ends it or begins a quoted value; a whole tag without quotes.
+_START, _NAME, _NEXT = re.compile(r"<(?=[a-zA-Z/!?])"), re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*"), re.compile(r">|=\s*([\"'])")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*)>")
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 CONTAINER, TOP, PART, OTHER = range(4)
@@ -86,13 +88,27 @@ def _cue(attrs: str) -> str:
     return next((k for k in _ORDER if k in found), "none") if found else "none"
 
 
+def _tag_end(source: str, pos: int) -> int:
+    """The place of the > that ends a tag; -1 if none does. Quotes count in values only."""
+    while (m := _NEXT.search(source, pos)) is not None:
+        if m[1] is None:
+            return m.start()
+        pos = source.find(m[1], m.end()) + 1
+        if not pos:
+            break
+    return -1
+
+
 def parse(source: str) -> Page:
+    """Nodes and text runs. Each character is looked at a bounded number of times: what has no end ends the page, and open
+    elements are found by their names' places on the stack."""
     tags, cues, parents = ["body"], ["none"], [-1]
     runs: list[tuple[int, str, float]] = []
     stack = [0]
     pieces: list[str] = []
     links, anchor, pos, n = 0, 0, 0, len(source)
     endless: set[str] = set()
+    places: dict[str, list[int]] = {}  # of each name, where on the stack it is open
 
     def flush() -> None:
         nonlocal links
@@ -113,28 +129,43 @@ def parse(source: str) -> Page:
 
     def close(names: tuple[str, ...], within: tuple[str, ...] = ()) -> bool:
         """Closes the innermost open element of these names, and all in it."""
-        for k in range(len(stack) - 1, 0, -1):
-            if tags[stack[k]] in names:
-                flush()
-                del stack[k:]
-                return True
-            if tags[stack[k]] in within:
-                break
-        return False
+        at = max((places[x][-1] for x in names if places.get(x)), default=0)
+        if not at or any(places[x][-1] > at for x in within if places.get(x)):
+            return False
+        flush()
+        for node in stack[at:]:
+            places[tags[node]].pop()
+        del stack[at:]
+        return True
 
     while pos < n:
-        m = _TAG.search(source, pos)
+        m = _START.search(source, pos)
         if m is None:
             text(source[pos:])
             break
+        at = m.end()
         if m.start() > pos:
             text(source[pos : m.start()])
-        pos = m.end()
-        name = m[2]
-        if name is None:
+        if plain := _PLAIN.match(source, m.start()):
+            closing, name, attrs = plain.groups()
+            pos = plain.end()
+        elif source.startswith("!--", at):
+            end = source.find("-->", at + 1)  # <!--> is a whole comment
+            pos = n if end < 0 else end + 3
             continue
+        else:
+            closing = source[at] == "/"
+            name = _NAME.match(source, at + closing)
+            if name is None:  # a declaration, or no tag
+                end = source.find(">", at)
+                pos = n if end < 0 else end + 1
+                continue
+            end = _tag_end(source, name.end())
+            if end < 0:
+                break
+            name, attrs, pos = name[0], source[name.end() : end], end + 1
         name = name.lower()
-        if m[1]:
+        if closing:
             if name == "a":
                 anchor = 0
             elif name == "br":
@@ -150,7 +181,7 @@ def parse(source: str) -> Page:
                 anchor = 1
             continue
         if name in SILENT or name == "head":
-            if m[3].endswith("/") and name in ("svg", "math"):
+            if attrs.endswith("/") and name in ("svg", "math"):
                 continue
             end = None if name in endless else re.compile(r"</head\s*>|(?=<body[\s>])" if name == "head" else rf"</{name}\s*>", re.I).search(source, pos)
             if end is None:
@@ -161,7 +192,7 @@ def parse(source: str) -> Page:
             continue
         if name in ("html", "body"):
             if name == "body" and len(tags) == 1:
-                cues[0] = _cue(m[3])
+                cues[0] = _cue(attrs)
             continue
         flush()
         if name in ENDS_P:
@@ -172,8 +203,9 @@ def parse(source: str) -> Page:
         if name in VOID:
             continue
         tags.append(name)
-        cues.append(_cue(m[3]) if m[3] else "none")
+        cues.append(_cue(attrs) if attrs else "none")
         parents.append(stack[-1])
+        places.setdefault(name, []).append(len(stack))
         stack.append(len(tags) - 1)
     flush()
     return Page(tags, cues, parents, runs)

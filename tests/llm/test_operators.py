@@ -542,6 +542,53 @@ def test_dedup_keeps_unlinked_texts_of_one_id(spark):
     assert sorted(got) == [(1, words("a")), (1, words("b")), (2, words("c")), (4, words("d"))]
 
 
+@pytest.mark.parametrize("unit", ["<div>", "<a ", '<a "x ', '<a x="', "<p>", "<li></li>", "</x>", "<x></p>", "<!--", "<", "<svg>", "&lt"])
+def test_pages_take_linear_time(unit):
+    """A megabyte of what has no end, alone and below many open elements."""
+    import time
+
+    model, n = html_extract.default_model(), (1 << 20) // len(unit)
+    for page in (unit * n, "<li><ul>" + "<div>" * 10_000 + unit * n):
+        began = time.process_time()
+        model.extract(page)
+        assert time.process_time() - began < 8  # some seconds at most; quadratic time would be minutes
+
+
+def test_marginals_equal_enumeration():
+    """Sum over all states of small trees."""
+    r = random.Random(4)
+    model = html_extract.default_model()
+    parts = ["<div class=post>", "<p>Some words, a sentence of them.", "</p>", "</div>", "<nav><a href=x>one</a></nav>", "<h1>Title</h1>", "<div class=comment>", "<article>", "</article>"]
+    done = 0
+    while done < 40:
+        page = html_extract.parse("".join(r.choices(parts, k=r.randint(1, 7))))
+        n = len(page.tags)
+        if not 1 < n <= 6:
+            continue
+        done += 1
+        own = [model.potential(f) for f in html_extract.features(page)]
+        (cc, ct, co), (tp, to), (pp, po) = model.from_container, model.from_top, model.from_part
+        step = [[cc, ct, 0, co], [0, 0, tp, to], [0, 0, pp, po], [0, 0, 0, 1]]
+        total, content = 0.0, [0.0] * n
+        for states in itertools.product(range(4), repeat=n):
+            w = own[0][states[0]] * (cc, ct, 0, 0)[states[0]]
+            for k in range(1, n):
+                w *= own[k][states[k]] * step[states[page.parents[k]]][states[k]]
+            total += w
+            for k in range(n):
+                content[k] += w * (states[k] in (1, 2))
+        for got, want in zip(model.marginals(page), content, strict=True):
+            assert abs(got - want / total) < 1e-9
+
+
+def test_torn_tags_are_taken_as_browsers_do():
+    runs = lambda s: [t for _, t, _ in html_extract.parse(s).runs]
+    assert runs("<p>a<b title=\"x>y\">c</b></p><p>d <a href='e") == ["ac", "d"]
+    assert runs('<p "x>a</p>1 < 2 <3') == ["a", "1 < 2 <3"]
+    assert runs("a<!-- b > c --><!doctype x>d</ e>f<!-->g") == ["adfg"]
+    assert runs("a<!-- b") == runs("a<!b") == runs("a<b c") == ["a"]
+
+
 @pytest.mark.parametrize("tag", ["button", "select", "svg", "math", "object", "canvas", "audio", "video", "template"])
 def test_an_unclosed_control_does_not_end_the_page(tag):
     runs = lambda name: [t for _, t, _ in html_extract.parse(f"<article><p>One.</p><{name}><p>Two.</p></article>").runs]
