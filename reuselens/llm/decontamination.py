@@ -7,10 +7,12 @@ pattern, less by the block's last position otherwise. Where the distance is 0 th
 under its hash holds the patterns that end so, first words first compared, and a direct comparison confirms. A text without
 benchmark words is thus read at every twelfth word. Items shorter than a window have their own tables by length.
 
-The windows are the query set: they go to every task in blocks of bounded size, and each block is one more pass over the
-texts, so a benchmark of any size takes time but no more memory. No shuffle.
+The windows are the query set: they go to every task in blocks of bounded size. Long items are cut into pieces that share a
+window less a word, so a block can always be bounded. Of several blocks each is one more pass over the texts, whose result is
+written before the next block is read, so neither a task nor the driver holds more than one block; a benchmark of any size takes
+time but no more memory. No shuffle of texts.
 
-Defined cases: null texts and texts without words have no hit and are clean; null or empty items are no patterns; an item id
+Defined cases: very long texts are searched as a whole; null texts and texts without words have no hit and are clean; null or empty items are no patterns; an item id
 that occurs on several rows counts once, a null id as the empty string; repeated documents are rows like any other; other
 columns pass through; an empty table gives no rows, an empty benchmark no hits.
 """
@@ -25,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, staged
 
 WINDOW = 13
 #: A document is contaminated if 1 / SHARE of its words or more are hit.
 SHARE = 20
-#: Bytes of item texts in one block of patterns, and thus in one task's closure, at most (or one item).
-BLOCK_BYTES = 8 << 20
+#: Bytes of item texts in one block of patterns, on average; words of a piece of an item beyond a window, at most.
+BLOCK_BYTES, PIECE_WORDS = 8 << 20, 2_000
 
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -86,19 +88,32 @@ def tables(items: Iterable[tuple[str, bytes]]) -> list[WuManber]:
     return [WuManber(m, p) for m, p in sorted(by_length.items())]
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of at most ``most`` bytes of text, brought over one by one."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    out: list[list[tuple[str, bytes]]] = [[]]
-    size = 0
-    for r in rows.toLocalIterator():
-        text = bytes(r["text"])
-        if out[-1] and size + len(text) > most:
-            out.append([])
-            size = 0
-        out[-1].append((r["item"], text))
-        size += len(text)
-    return out
+def _pieces(text: Column) -> Column:
+    """The words of each text between blanks, in pieces that together have all of its windows."""
+
+    @F.arrow_udf("array<binary>")
+    def pieces(batch: pa.Array) -> pa.Array:
+        out = []
+        for item in batch.to_pylist():
+            w = words(item)
+            starts = range(0, max(1, len(w) - WINDOW + 1), PIECE_WORDS) if w else ()
+            out.append([b" ".join(w[k : k + PIECE_WORDS + WINDOW - 1]) for k in starts])
+        return pa.array(out, pa.list_(pa.binary()))
+
+    return pieces.asNondeterministic()(text)
+
+
+def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """(item, text, block): the distinct pieces of the items, staged, dealt to blocks of some ``most`` bytes; and the number of
+    blocks."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.explode(_pieces(F.col("text").cast("binary"))).alias("text"))
+    rows = staged(rows.distinct(), "benchmark")
+    n = max(1, -(-rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // most))
+    return rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
+
+
+def block_items(dealt: DataFrame, k: int) -> list[tuple[str, bytes]]:
+    return [(r["item"], bytes(r["text"])) for r in dealt.where(F.col("block") == k).select("item", "text").toLocalIterator()]
 
 
 HITS = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
@@ -150,22 +165,25 @@ def _summed(spans: Column, items: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "hits", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct of n_words, n_hit, n_items, items_sha256, items (sorted), spans (word ranges), contaminated."""
-    (tmp,) = fresh(docs, "block_hits")
-    parts: list[Column] = []
+    tmp, own = fresh(docs, "block_hits", "own_hits")
+    dealt, n = blocks(benchmark, block_bytes)
     out = docs
-    for k, items in enumerate(blocks(benchmark, block_bytes)):
-        out = out.withColumn(f"{tmp}_{k}", _search(items)(F.col(text).cast("binary")))
-        parts.append(F.col(f"{tmp}_{k}"))
-    spans = F.flatten(F.array(*[p["spans"] for p in parts]))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[p["items"] for p in parts]))))
-    out = out.withColumn(column, F.struct(parts[0]["n_words"].alias("n_words"), spans.alias("spans"), items.alias("items")))
+    for k in range(n):
+        out = out.withColumn(own if k else tmp, _search(block_items(dealt, k))(F.col(text).cast("binary")))
+        if k:
+            a, b = F.col(tmp), F.col(own)
+            out = out.withColumn(tmp, F.struct(a["n_words"].alias("n_words"), F.concat(a["spans"], b["spans"]).alias("spans"), F.concat(a["items"], b["items"]).alias("items"))).drop(own)
+        if n > 1:
+            out = staged(out, "searched")
+    found = F.col(tmp)
+    out = out.withColumn(column, F.struct(found["n_words"].alias("n_words"), found["spans"].alias("spans"), F.array_sort(F.array_distinct(found["items"])).alias("items")))
     out = out.withColumn(tmp, _summed(F.col(column)["spans"], F.col(column)["items"]))
     h, s = F.col(column), F.col(tmp)
     struct = F.struct(
         h["n_words"].alias("n_words"), s["n_hit"].alias("n_hit"), F.size(h["items"]).cast("bigint").alias("n_items"), s["items_sha256"].alias("items_sha256"),
         h["items"].alias("items"), h["spans"].alias("spans"), ((s["n_hit"] > 0) & (SHARE * s["n_hit"] >= h["n_words"])).alias("contaminated"),
     )
-    return out.withColumn(column, struct).drop(tmp, *[f"{tmp}_{k}" for k in range(len(parts))])
+    return out.withColumn(column, struct).drop(tmp)
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, any_hit: bool = True) -> DataFrame:

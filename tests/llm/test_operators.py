@@ -366,12 +366,14 @@ def brute_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-def test_contamination_is_exact(spark):
+def test_contamination_is_exact(spark, monkeypatch):
     r = random.Random(8)
     items = [(k, " ".join(r.choice("abc") for _ in range(r.choice([1, 2, 5, 13, 14, 30])))) for k in range(1, 25)] + [(30, None), (31, "!!"), (32, "É É"), (None, "b b a")]
     texts = [(k, "".join(r.choice(["a", "b", "c", "A", "é"]) + r.choice([" ", ".", "\n", "--"]) for _ in range(r.randint(0, 120)))) for k in range(60)] + [(100 + k, t) for k, t in enumerate(t for _, t in ODD)]
-    bench = spark.createDataFrame(items, ITEMS)
-    for size in (1 << 20, 40):  # one block of patterns, and many
+    bench = spark.createDataFrame(items + items[:3], ITEMS)
+    for size, piece in ((1 << 20, 2000), (150, 4)):  # one block of patterns, and many with items in pieces
+        monkeypatch.setattr(decontamination, "PIECE_WORDS", piece)
+        assert (decontamination.blocks(bench, size)[1] > 1) == (size == 150)
         out = decontamination.contamination(documents(spark, texts), bench, block_bytes=size)
         got = {x["doc_id"]: x["hits"] for x in out.collect()}
         for k, t in texts:
