@@ -601,17 +601,39 @@ def test_an_unclosed_control_does_not_end_the_page(tag):
 
 
 def test_licenses(spark):
-    mit = license_scan.LICENSES["MIT"]
-    rows = [(1, mit), (2, "Copyright (c) 2001 Me\n\n(C) You\n" + mit.upper().replace("\n", "\n\n  ").replace("SUBLICENSE", "sub-licence")), (3, mit + " Also this."), (4, mit[:-20]), (5, "Released under the MIT licence"), *ODD]
-    got = license_scan.query(documents(spark, rows).withColumn("license", F.lit("mine"))).collect()
+    mit, bsd = license_scan.LICENSES["MIT"], license_scan.LICENSES["BSD-3-Clause"]
+    rows = [
+        (101, mit), (102, "Copyright (c) 2001 Me\n\n(C) You\n" + mit.upper().replace("\n", "\n\n  ").replace("SUBLICENSE", "sub-licence")), (103, mit + " Also this."), (104, mit[:-20]),
+        (105, "The MIT License (MIT)\nCopyright 2020 A. Nother\nAll rights reserved.\n\n" + mit), (106, "BSD 3-Clause Licence\n" + bsd.lower()), (107, "see: " + bsd), (108, "Released under the MIT licence"),
+    ]
+    got = license_scan.query(documents(spark, rows + ODD).withColumn("license", F.lit("mine"))).collect()
+    assert len(got) == len(rows) + len(ODD)
     found = {x["doc_id"]: x["license"] for x in got}
-    assert len(got) == len(rows) and [found[k] for k in (2, 3, 4, 5)] == ["MIT", None, "MIT-line", None] or [found[k] for k in (2, 4)] == ["MIT", None]
-    assert {x["text_sha256"] for x in got} == {hashlib.sha256(license_scan.canonical(t or "").encode()).hexdigest() for _, t in rows}
-    table = spark.createDataFrame([(x["text_sha256"], n) for x in got[:1] for n in ("b", "a")], "digest string, license string")
+    assert found == {101: "MIT", 102: "MIT", 103: None, 104: None, 105: "MIT", 106: "BSD-3-Clause", 107: None, 108: None} | dict.fromkeys(k for k, _ in ODD)
+    assert {x["text_sha256"] for x in got} == {license_scan.digest(t or "") for _, t in rows + ODD}
+    table = spark.createDataFrame([(license_scan.digest(mit), n) for n in ("b", "a")], "digest string, license string")
     assert license_scan.scanned(documents(spark, rows[:1]), table).first()["license"] == "a"
     assert license_scan.query(documents(spark, [])).count() == 0
 
 
+def test_spellings_of_neighbours():
+    assert license_scan.canonical("Licence, licence LICENCE sub-licence sub license") == "license license license sublicense sublicense"
+    assert license_scan.canonical("  (c) 2001\nx ALL RIGHTS\nAll rights reserved. me\ny") == "x all rights y"
+
+
+def test_whole_long_licenses_are_known():
+    import os
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts on this machine")
+    known = license_scan.known()
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0")):
+        with open(f"{folder}/{file}", encoding="utf-8") as f:
+            text = f.read()
+        assert known[license_scan.digest("   " + text.replace(" License ", " LICENCE ").replace("\n", "\r\n"))] == name
+
+
 def test_licenses_are_native(spark):
     plan = license_scan.query(documents(spark, []))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
