@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, maybe_in, staged
+from .common import fresh, keyed_join, maybe_in, staged
 from .components import components
 from .textstats import shingles
 
@@ -329,10 +329,11 @@ def keep(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int
     out = maybe_in(docs, "doc_id", asked, False).union(maybe_in(docs, "doc_id", asked).join(asked.hint("merge"), "doc_id", "left_anti").select(*names))
     repeated = ids.where("kept > 0").select("doc_id")
     if not repeated.isEmpty():  # sets are taken a second time only of rows that repeat an id
-        same = maybe_in(docs, "doc_id", repeated).join(repeated, "doc_id", "left_semi").withColumn("_set", _sets(F.col("text"), k, 1, 1)["digest"])
-        chosen = of_class.select(F.col("first.rep").alias("doc_id"), F.col("first.digest").alias("_set")).distinct()
-        same = same.join(chosen.withColumn("_chosen", F.lit(True)), ["doc_id", "_set"], "left").where("_chosen OR _set IS NULL").drop("_chosen")
-        same = same.withColumn("_same", F.coalesce("_set", F.md5(F.col("text").cast("binary")).cast("binary"))).dropDuplicates(["doc_id", "_same"])
+        own, taken, key = fresh(docs, "own_set", "taken", "same")
+        same = maybe_in(docs, "doc_id", repeated).join(repeated, "doc_id", "left_semi").withColumn(own, _sets(F.col("text"), k, 1, 1)["digest"])
+        chosen = of_class.select(F.col("first.rep").alias("doc_id"), F.col("first.digest").alias(own)).distinct().withColumn(taken, F.lit(True))
+        same = same.join(chosen, ["doc_id", own], "left").where(F.col(taken) | F.col(own).isNull())
+        same = same.withColumn(key, F.coalesce(own, F.md5(F.col("text").cast("binary")).cast("binary"))).dropDuplicates(["doc_id", key])
         out = out.union(same.select(*names))
     return out
 

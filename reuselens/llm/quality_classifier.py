@@ -4,7 +4,7 @@ Shallow boosted trees on a bounded sample of labelled rows propose rules: each p
 comparisons. A lasso logistic regression over the rules' truth values keeps few of them; these are compiled into Spark
 column expressions, so scoring is a projection over the measurements.
 
-Defined cases: null and empty texts are measured as empty and scored like any row; without training rows, or with one class
+Defined cases: null and empty texts are measured as empty and scored like any row, very long ones as a whole; without training rows, or with one class
 only, the score is the share of good labels (0.5 without any); null ids are not held out; ties, repeated rows and other
 columns do not matter; an empty table gives no rows.
 """

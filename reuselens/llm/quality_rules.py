@@ -3,8 +3,8 @@
 Every rule is evaluated once per document; its outcome is one bit of ``failed_rules`` beside the measurements it used.
 Policies are versioned masks over these bits, so a new policy, or the ablation of one, reads the ledger and no text.
 
-Defined cases: null text counts as empty (no words: the base rule few_words fails); null ids and repeated rows are rows like
-any other; other columns, whatever their names, pass through; an empty table gives an empty ledger.
+Defined cases: null text counts as empty (no words: the base rule few_words fails); very long texts are measured as a whole; null
+ids and repeated rows are rows like any other; other columns, whatever their names, pass through; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations

@@ -433,6 +433,24 @@ def test_classifier_on_held_out_rows(spark):
     assert model == quality_classifier.train(docs.repartition(3), labels)
 
 
+def test_compiled_rules_equal_rules(spark):
+    """The column against each rule's conditions, evaluated one by one."""
+    from math import exp
+
+    r = random.Random(12)
+    names = list(quality_classifier.STATISTICS)
+    value = lambda: r.choice([0.0, 0.5, 1.0, r.uniform(-2, 2)])
+    rules = [(tuple(quality_classifier.Condition(r.choice(names), r.random() < 0.5, value()) for _ in range(r.randint(1, 3))), r.uniform(-2, 2)) for _ in range(30)]
+    model = quality_classifier.RuleEnsemble(0.25, tuple(rules))
+    rows = [tuple(value() for _ in names) for _ in range(200)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    got = [x["score"] for x in df.select(model.column({n: F.col(n) for n in names}).alias("score")).collect()]
+    for row, score in zip(rows, got, strict=True):
+        x = dict(zip(names, row, strict=True))
+        total = 0.25 + sum(w for rule, w in rules if all((x[c.statistic] > c.threshold) == c.above for c in rule))
+        assert abs(score - 1 / (1 + exp(-total))) < 1e-12
+
+
 def test_classifier_edge_cases(spark):
     docs = odd_docs(spark)
     for labels in (odd_labels(spark), odd_labels(spark).limit(0)):

@@ -64,6 +64,26 @@ def test_run(spark, corpus):
     assert rows and all(x["decoded_sha256"] == want[k] for k, x in rows.items())
 
 
+def test_odd_rows_and_clashing_names(spark, corpus, tmp_path):
+    """Null ids and texts, repeated rows, long texts and columns that an operator might use itself, through every stage."""
+    at, texts, _ = corpus
+    clash = "word bits hits score kept n digest node leader rep h _set _same measured failed_rules block_hits".split()
+    plain = texts[0]
+    rows = [(1001, plain), (1001, plain), (1002, plain), (None, plain), (None, plain), (None, None), (1003, None), (1003, None), (1004, "word " * 30_000), (1005, texts[8]), (1005, texts[16])]
+    labelled = [(k, t) for k, t in texts.items() if 16 < k < 160]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows + labelled], DOCS).select("*", *[F.lit("mine").alias(c) for c in clash]).repartition(7)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, at)
+        got = out.collect()
+        counts[name] = sorted((x["doc_id"] or 0) for x in got if (x["doc_id"] or 1001) > 1000)
+        if name != "sentencepiece":
+            assert out.columns == docs.columns, name
+            assert all(x[c] == "mine" for x in got for c in clash), (name, got[:1])
+            docs = spark.createDataFrame(got, out.schema).repartition(5)
+    assert counts["near_dedup"] == counts["decontamination"] == counts["sentencepiece"] == [0, 0, 1001, 1005, 1005], counts
+
+
 def test_empty_corpus(spark, corpus, tmp_path):
     at, _, _ = corpus
     for t in ("documents", "labels", "benchmark"):
