@@ -19,7 +19,6 @@ columns pass through; an empty table gives no rows, an empty benchmark no hits.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -120,17 +119,18 @@ HITS = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
 
 
 def _search(items: list[tuple[str, bytes]]):
+    """Of a text, and the spans and items that other blocks had found: the number of words, all spans, merged, and all items, sorted."""
     built: list[list[WuManber]] = []
 
     @F.arrow_udf(HITS)
-    def search(batch: pa.Array) -> pa.Array:
+    def search(batch: pa.Array, before: pa.Array, known: pa.Array) -> pa.Array:
         if not built:
             built.append(tables(items))
         n, spans, found = [], [], []
-        for text in batch.to_pylist():
-            w = words(text)
-            at: set[tuple[int, int]] = set()
-            of: set[str] = set()
+        for text, old, of in zip(batch, before, known, strict=True):
+            w = words(text.as_py())
+            old, of = old.as_py(), set(of.as_py())
+            at = set(zip(old[::2], old[1::2], strict=True))
             for t in built[0]:
                 for start, own in t.search(w):
                     at.add((start, start + t.m))
@@ -153,35 +153,23 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _summed(spans: Column, items: Column) -> Column:
-    @F.arrow_udf("struct<n_hit:bigint,items_sha256:string>")
-    def summed(spans: pa.Array, items: pa.Array) -> pa.Array:
-        hit = [sum(e - s for s, e in _merged(zip(x[::2], x[1::2], strict=True))) for x in spans.to_pylist()]
-        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array(hit, pa.int64()), pa.array(digest, pa.string())], names=["n_hit", "items_sha256"])
-
-    return summed.asNondeterministic()(spans, items)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, column: str = "hits", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct of n_words, n_hit, n_items, items_sha256, items (sorted), spans (word ranges), contaminated."""
-    tmp, own = fresh(docs, "block_hits", "own_hits")
+    (tmp,) = fresh(docs, "block_hits")
     dealt, n = blocks(benchmark, block_bytes)
+    spans, items = F.array().cast("array<bigint>"), F.array().cast("array<string>")
     out = docs
     for k in range(n):
-        out = out.withColumn(own if k else tmp, _search(block_items(dealt, k))(F.col(text).cast("binary")))
-        if k:
-            a, b = F.col(tmp), F.col(own)
-            out = out.withColumn(tmp, F.struct(a["n_words"].alias("n_words"), F.concat(a["spans"], b["spans"]).alias("spans"), F.concat(a["items"], b["items"]).alias("items"))).drop(own)
+        out = out.withColumn(tmp, _search(block_items(dealt, k))(F.col(text).cast("binary"), spans, items))
         if n > 1:
             out = staged(out, "searched")
-    found = F.col(tmp)
-    out = out.withColumn(column, F.struct(found["n_words"].alias("n_words"), found["spans"].alias("spans"), F.array_sort(F.array_distinct(found["items"])).alias("items")))
-    out = out.withColumn(tmp, _summed(F.col(column)["spans"], F.col(column)["items"]))
-    h, s = F.col(column), F.col(tmp)
+        spans, items = F.col(tmp)["spans"], F.col(tmp)["items"]
+    n_words = F.col(tmp)["n_words"]
+    # merged spans: the sum of the ends less the sum of the starts
+    n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     struct = F.struct(
-        h["n_words"].alias("n_words"), s["n_hit"].alias("n_hit"), F.size(h["items"]).cast("bigint").alias("n_items"), s["items_sha256"].alias("items_sha256"),
-        h["items"].alias("items"), h["spans"].alias("spans"), ((s["n_hit"] > 0) & (SHARE * s["n_hit"] >= h["n_words"])).alias("contaminated"),
+        n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        items.alias("items"), spans.alias("spans"), ((n_hit > 0) & (SHARE * n_hit >= n_words)).alias("contaminated"),
     )
     return out.withColumn(column, struct).drop(tmp)
 
