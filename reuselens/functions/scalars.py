@@ -35,7 +35,7 @@ def duration_ns(text: str) -> int:
         unit = NANOS[m[3]]
         total += int(m[1] or 0) * unit + (int(m[2]) * unit // 10 ** len(m[2]) if m[2] else 0)
         at = m.end()
-    if not rest or total > MAX_INT64:
+    if not rest or total > MAX_INT64 + (sign < 0):
         raise ValueError(f"not a duration: {text!r}")
     return sign * total
 

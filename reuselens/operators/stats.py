@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,18 +52,31 @@ def require_no_restart(delta: DataFrame, node: str = "node") -> DataFrame:
     return delta
 
 
-def lower_quantiles(rows: DataFrame, column: str, quantiles: list[float], *by: str) -> DataFrame:
-    """(by, quantile, value): the value at index floor(q (n - 1)) of the sorted values.
-
-    By a counted histogram of distinct values rather than a sort of all rows: running counts over the values give the index.
-    """
-    counts = rows.groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+def _at_index(counts: DataFrame, quantiles: list[float], by: tuple[str, ...]) -> DataFrame:
+    """Of counts (by, value, n) by value: the rows that hold index floor(q (n - 1)), with that index less the rows below as rest."""
     w = W.partitionBy(*by).orderBy("value")
     ranked = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(W.partitionBy(*by)))
     q = F.explode(F.array(*[F.lit(x) for x in quantiles])).alias("quantile")
-    hit = ranked.select(*by, "value", "n", "upto", "total", q)
-    index = F.floor(F.col("quantile") * (F.col("total") - 1))
-    return hit.where((index < F.col("upto")) & (index >= F.col("upto") - F.col("n"))).select(*by, "quantile", "value")
+    hit = ranked.select(*by, "value", "n", "upto", "total", q).withColumn("index", F.floor(F.col("quantile") * (F.col("total") - 1)))
+    return hit.where((F.col("index") < F.col("upto")) & (F.col("index") >= F.col("upto") - F.col("n"))).select(*by, "quantile", "value", (F.col("index") - F.col("upto") + F.col("n")).alias("rest"))
+
+
+def lower_quantiles(rows: DataFrame, column: str, quantiles: list[float], *by: str) -> DataFrame:
+    """(by, quantile, value): the value at index floor(q (n - 1)) of the sorted whole-number values.
+
+    By counts of values in two levels: blocks of neighbouring values first, about as many as a block has values, then the values
+    of the blocks that hold an index. So no task sorts more than the square root of the range of values.
+    """
+    value = F.col(column).cast("bigint")
+    span = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    bits = ((span["hi"] or 0) - (span["lo"] or 0)).bit_length() // 2
+    counts = rows.where(value.isNotNull()).groupBy(*by, value.alias("v")).agg(F.count("*").alias("n")).withColumn("block", F.shiftright("v", bits))
+    blocks = counts.groupBy(*by, F.col("block").alias("value")).agg(F.sum("n").alias("n"))
+    held = _at_index(blocks, quantiles, by).withColumnRenamed("value", "block")
+    inside = counts.join(held, [*by, "block"])
+    below = F.sum("n").over(W.partitionBy(*by, "quantile").orderBy("v").rowsBetween(W.unboundedPreceding, -1))
+    found = inside.withColumn("below", F.coalesce(below, F.lit(0))).where("rest >= below AND rest < below + n")
+    return found.select(*by, "quantile", F.col("v").alias("value"))
 
 
 def latency_split(rows: DataFrame, *by: str) -> DataFrame:
@@ -83,23 +99,25 @@ def derived(stats: DataFrame) -> DataFrame:
 
 
 def lower_median(column: str) -> Column:
-    """Element floor((n - 1) / 2) of the sorted values of a group of repeated runs."""
-    values = F.sort_array(F.collect_list(column))
-    return F.element_at(values, F.expr(f"CAST((size(collect_list({column})) - 1) div 2 AS INT) + 1"))
+    """Element floor((n - 1) / 2) of the sorted values of a group of repeated runs (A16), from counts of distinct values that
+    tasks merge."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column})")
 
 
 def sweep_table(runs: DataFrame, policies: tuple[str, str] = ("lru", "lrb")) -> DataFrame:
     """Per latency with both policies: medians over the repeats, and the break-even (A17). runs: origin_latency_ns, policy,
     object_hit, marginal_ns, evict_ns, evictions_per_request, p99_us."""
     old, new = policies
-    medians = runs.groupBy("origin_latency_ns", "policy").agg(*[lower_median(c).alias(c) for c in ("object_hit", "marginal_ns", "evict_ns", "evictions_per_request", "p99_us")])
-    x = medians.groupBy("origin_latency_ns").pivot("policy", [old, new]).agg(*[F.first(c).alias(c) for c in ("object_hit", "marginal_ns", "evict_ns", "evictions_per_request", "p99_us")])
+    columns = ("object_hit", "marginal_ns", "evict_ns", "evictions_per_request", "p99_us")
+    medians = runs.groupBy("origin_latency_ns", "policy").agg(F.count("*").alias("runs"), *[lower_median(c).alias(c) for c in columns])
+    x = medians.groupBy("origin_latency_ns").pivot("policy", [old, new]).agg(*[F.first(c).alias(c) for c in ("runs", *columns)])
     x = x.where(F.col(f"{old}_object_hit").isNotNull() & F.col(f"{new}_object_hit").isNotNull())
     gain = F.col(f"{new}_object_hit") - F.col(f"{old}_object_hit")
     cost = (F.col(f"{new}_evict_ns") - F.col(f"{old}_evict_ns")) * F.col(f"{new}_evictions_per_request")
     marginal = (F.col(f"{old}_marginal_ns") + F.col(f"{new}_marginal_ns")) / 2.0
     return x.select(
-        "origin_latency_ns", F.col(f"{old}_object_hit").alias("old_hit"), F.col(f"{new}_object_hit").alias("new_hit"), F.round(gain * 10_000, 4).alias("gain_bp"), F.round(marginal, 4).alias("marginal_ns"),
+        "origin_latency_ns", F.col(f"{new}_runs").alias("runs"), F.col(f"{old}_evict_ns").alias("old_evict_ns"), F.col(f"{new}_evict_ns").alias("new_evict_ns"),
+        F.col(f"{old}_p99_us").alias("old_p99_us"), F.col(f"{new}_p99_us").alias("new_p99_us"), F.col(f"{old}_object_hit").alias("old_hit"), F.col(f"{new}_object_hit").alias("new_hit"), F.round(gain * 10_000, 4).alias("gain_bp"), F.round(marginal, 4).alias("marginal_ns"),
         F.round(cost, 4).alias("spent_ns"), F.round(gain * marginal, 4).alias("saved_ns"), F.round(gain * marginal - cost, 4).alias("net_ns"),
         F.when(gain > 0, F.round(cost / gain / 1000.0, 4).cast("string")).otherwise("n/a").alias("breakeven_us"),
     )
@@ -144,21 +162,24 @@ def histogram_quantiles(counts: DataFrame, quantiles: list[float], *by: str) ->
 def single_flight(misses: DataFrame, fetch_us: int) -> DataFrame:
     """fetched: whether a miss starts a fetch; misses of a key while one is under way share it.
 
-    Fetches of one key don't overlap, so whether a miss starts one depends on the last fetch alone, which a fold over the key's
-    misses carries; a key's misses are one array, split beforehand where a pause is longer than a fetch, which no fetch spans.
+    Fetches of one key don't overlap, so whether a miss starts one depends on the last fetch alone. A task reads its keys' misses in
+    order, batch by batch, and carries only that.
     """
-    w = W.partitionBy("key").orderBy("timestamp_us", "ordinal")
-    pause = F.coalesce(F.col("timestamp_us") - F.lag("timestamp_us").over(w) >= fetch_us, F.lit(True))
-    runs = misses.withColumn("run", F.sum(pause.cast("int")).over(w))
-    grouped = runs.groupBy("key", "run").agg(F.sort_array(F.collect_list(F.struct("timestamp_us", "ordinal"))).alias("m"))
-
-    def step(a: Column, m: Column) -> Column:
-        new = m["timestamp_us"] >= a["until"]
-        row = F.struct(m["timestamp_us"].alias("timestamp_us"), m["ordinal"].alias("ordinal"), new.alias("fetched"))
-        return F.struct(F.when(new, m["timestamp_us"] + fetch_us).otherwise(a["until"]).alias("until"), F.concat(a["rows"], F.array(row)).alias("rows"))
-
-    start = F.struct(F.lit(-(1 << 62)).alias("until"), F.array().cast("array<struct<timestamp_us:bigint,ordinal:bigint,fetched:boolean>>").alias("rows"))
-    return grouped.select("key", F.explode(F.aggregate("m", start, step)["rows"]).alias("r")).select("key", "r.timestamp_us", "r.ordinal", "r.fetched")
+    rows = misses.select(F.col("key").cast("bigint").alias("key"), F.col("timestamp_us").cast("bigint").alias("timestamp_us"), F.col("ordinal").cast("bigint").alias("ordinal"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "timestamp_us", "ordinal")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, until = object(), 0  # no key yet, not even null
+        for pdf in batches:
+            fetched = []
+            for key, t in zip(pdf["key"].astype("Int64").astype(object).where(pdf["key"].notna(), None).tolist(), pdf["timestamp_us"].tolist(), strict=True):
+                new = key != now or t >= until
+                if new:
+                    now, until = key, t + fetch_us
+                fetched.append(new)
+            yield pdf.assign(fetched=fetched)
+
+    return rows.mapInPandas(fold, "key bigint, timestamp_us bigint, ordinal bigint, fetched boolean")
 
 
 def threshold_gate(report: DataFrame, hit_floor: float = 0.0, p99_ceiling_ns: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterable
 from datetime import UTC, datetime
 
@@ -29,7 +30,7 @@ def version_for(when: float | None = None) -> str:
 def problem(meta: dict, body: bytes | None) -> str | None:
     """Why a model can't be published."""
     version = meta.get("version") or ""
-    if not version or len(version) > MAX_VERSION or version.startswith(".") or any(c in version for c in "/\\") or version != os.path.basename(version):
+    if not version or len(version) > MAX_VERSION or any(c in version for c in "./\\") or version != os.path.basename(version):
         return f"version {version!r} is no bare name of up to {MAX_VERSION} characters"
     if meta.get("format") != MODEL_FORMAT:
         return f"format {meta.get('format')!r} is not {MODEL_FORMAT}"
@@ -101,18 +102,29 @@ class Registry:
         return max(self.versions(), default="")
 
     def publish(self, meta: dict, body: bytes) -> str:
-        """Body first, metadata last, each under its name only when whole."""
+        """Body first, metadata last, each under its name only when whole.
+
+        A name is claimed by a link, which fails if it exists: of several publishers of one version one wins. A body that a broken
+        attempt left counts as published if it is the same.
+        """
         if why := problem(meta, body):
             raise Refused(why)
-        if os.path.exists(self._path(meta["version"], "meta")):
-            raise FileExistsError(f"version {meta['version']} exists")
         for kind, data in (("model", body), ("meta", json.dumps(meta).encode())):
             path = self._path(meta["version"], kind)
-            with open(path + ".tmp", "wb") as f:
+            own = f"{path}.{uuid.uuid4().hex}.tmp"
+            with open(own, "wb") as f:
                 f.write(data)
                 f.flush()
                 os.fsync(f.fileno())
-            os.replace(path + ".tmp", path)
+            try:
+                os.link(own, path)
+            except FileExistsError:
+                with open(path, "rb") as f:
+                    same = kind == "model" and f.read() == data
+                if not same:
+                    raise FileExistsError(f"version {meta['version']} exists") from None
+            finally:
+                os.remove(own)
         return meta["version"]
 
     def get(self, version: str = "") -> tuple[dict, bytes]:
@@ -139,7 +151,7 @@ def invalid_reason(max_version: int = MAX_VERSION) -> Column:
     """M14 over a table of metadata; null: valid."""
     v = F.coalesce("version", F.lit(""))
     return (
-        F.when((v == "") | (F.length(v) > max_version) | v.rlike(r"[/\\]") | F.startswith(v, F.lit(".")), "version")
+        F.when((v == "") | (F.length(v) > max_version) | v.rlike(r"[./\\]"), "version")
         .when(~F.col("format").eqNullSafe(MODEL_FORMAT), "format").when(~F.col("feature_count").eqNullSafe(len(FEATURES)), "features")
         .when(~(F.coalesce("boundary_seconds", F.lit(0)) > 0), "boundary").when(~(F.coalesce("size_bytes", F.lit(0)).between(1, MAX_BODY)), "size")
     )

@@ -11,7 +11,9 @@ tolerant mode and an error in the strict one.
 
 from __future__ import annotations
 
+import json
 import os
+import time
 import uuid
 import warnings
 from collections.abc import Iterator
@@ -177,13 +179,14 @@ class _Written(WriterCommitMessage):
 
 
 class SegmentWriter(DataSourceWriter):
-    """Batches of at most ``batch`` records; a file is finished at ``segmentBytes``. Files get their name when the job commits, so
+    """Batches of at most ``batch`` records; a file is finished at ``segmentBytes``, or ``maxAgeUs`` after it was opened. Files get their name when the job commits, so
     readers see whole segments only (S7, S8)."""
 
     def __init__(self, options: dict, schema, overwrite: bool) -> None:
         self.folder, self.overwrite = options["path"].removeprefix("file://"), overwrite
         self.node = options.get("node", "spark")
         self.batch, self.segment_bytes = int(options.get("batch", BATCH)), int(options.get("segmentbytes", options.get("segmentBytes", SEGMENT_BYTES)))
+        self.max_age_us = int(options.get("maxageus", options.get("maxAgeUs", MAX_AGE_US)))
         self.columns = [schema.fieldNames().index(c) for c in ("key_hash", "timestamp_us", "size_bytes", "hit")]
         os.makedirs(self.folder, exist_ok=True)
 
@@ -193,19 +196,20 @@ class SegmentWriter(DataSourceWriter):
         shard = TaskContext.get().partitionId()
         files: list[tuple[str, str]] = []
         held: list[Record] = []
-        out, size, total, sequence = None, 0, 0, 0
+        out, size, total, sequence, opened = None, 0, 0, 0, 0.0
 
         def drain() -> None:
-            nonlocal out, size, sequence, held
+            nonlocal out, size, sequence, held, opened
             if not held:
                 return
             if out is None:
                 name = os.path.join(self.folder, f"{self.node}-{shard:05d}-{len(files):06d}-{uuid.uuid4().hex}")
                 files.append((name + OPEN_SUFFIX, name + SUFFIX))
                 out, size = open(name + OPEN_SUFFIX, "wb"), 0  # noqa: SIM115
+                opened = time.monotonic()
             size += out.write(frame(encode_batch(f"{self.node}/{shard}", sequence, held)))
             sequence, held = sequence + 1, []
-            if size >= self.segment_bytes:
+            if size >= self.segment_bytes or (time.monotonic() - opened) * 1e6 >= self.max_age_us:
                 out.close()
                 out = None
 
@@ -223,11 +227,15 @@ class SegmentWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         if self.overwrite:
             for n in os.listdir(self.folder):
-                if n.endswith(SUFFIX):
+                if n.endswith((SUFFIX, ".written")):
                     os.remove(os.path.join(self.folder, n))
         for m in messages:
             for temporary, final in m.files if m else ():
                 os.replace(temporary, final)
+        done = [m for m in messages if m]
+        stats = {"records": sum(m.records for m in done), "segments": sum(len(m.files) for m in done)}
+        with open(os.path.join(self.folder, f"{self.node}-{uuid.uuid4().hex}.written"), "w") as f:
+            json.dump(stats, f)
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -251,6 +259,17 @@ class SegmentSource(DataSource):
         return SegmentWriter(dict(self.options), schema, overwrite)
 
 
+def written(folder: str) -> dict[str, int]:
+    """Records and segments that finished writes have put into a folder."""
+    total = {"records": 0, "segments": 0}
+    for n in os.listdir(folder):
+        if n.endswith(".written"):
+            with open(os.path.join(folder, n)) as f:
+                for k, v in json.load(f).items():
+                    total[k] += v
+    return total
+
+
 def load(spark, folder: str, strict: bool = False):
     """All records of a folder in time order, ties in the order of file, batch and place."""
     from pyspark.sql import functions as F

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,21 @@ def entry_states(accesses: DataFrame, ttl_us: int = 0) -> DataFrame:
     return accesses.groupBy("key").transformWithStateInPandas(EntryState(ttl_us), outputStructType=ENTRY, outputMode="append", timeMode="none")
 
 
+def capture(accesses: DataFrame, folder: str, checkpoint: str, node: str = "stream", **trigger):
+    """The running query that writes a stream of records to segment files (ST1). A micro-batch that is run again replaces its files."""
+    from ..sources.segments import SegmentSource
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = f"{node}-b{number:09d}-"
+        for n in os.listdir(folder) if os.path.isdir(folder) else ():
+            if n.startswith(own):
+                os.remove(os.path.join(folder, n))
+        batch.sparkSession.dataSource.register(SegmentSource)
+        batch.select("key_hash", "timestamp_us", "size_bytes", "hit").write.format("segments").option("node", own.rstrip("-")).mode("append").save(folder)
+
+    return accesses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+
+
 def windowed_hits(accesses: DataFrame, window: str, slide: str | None = None, late: str = "0 seconds") -> DataFrame:
     """Requests and hits per window of event time; rows later than the watermark are dropped by Spark and counted in its progress
     (ST6)."""

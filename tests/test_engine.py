@@ -378,6 +378,75 @@ def test_segments_written_by_spark(spark, tmp_path):
     assert back.count() == 2000 and back.select("key_hash").distinct().count() == 2000
 
 
+def test_segments_rotate_by_age_and_say_what_was_written(spark, tmp_path):
+    spark.dataSource.register(segments.SegmentSource)
+    rows = spark.range(500).select(F.col("id").alias("key_hash"), F.col("id").alias("timestamp_us"), F.lit(7).alias("size_bytes"), F.lit(True).alias("hit")).coalesce(1)
+    for age, files in ((0, 5), (60_000_000, 1)):
+        at = str(tmp_path / f"age{age}")
+        rows.write.format("segments").option("batch", 100).option("maxAgeUs", age).mode("append").save(at)
+        assert len(segments.segments(at)) == files and segments.written(at) == {"records": 500, "segments": files}
+        assert segments.load(spark, at, strict=True).count() == 500
+
+
+def test_captured_stream(spark, tmp_path):
+    from reuselens.streaming import stateful
+
+    rows = spark.range(300).select(F.col("id").alias("key_hash"), F.col("id").alias("timestamp_us"), F.lit(7).cast("bigint").alias("size_bytes"), F.lit(True).alias("hit"))
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    at = str(tmp_path / "segments")
+    for k in range(2):  # the second run, without the first one's checkpoint, replaces its batches
+        stateful.capture(stateful.file_stream(spark, str(tmp_path / "in"), rows.schema), at, str(tmp_path / f"at{k}")).awaitTermination()
+        assert sorted(x["key_hash"] for x in segments.load(spark, at, strict=True).collect()) == list(range(300))
+        assert segments.written(at)["records"] == 300
+
+
+def test_single_flight_of_a_hot_key(spark):
+    """Against a plain fold; one key, null keys, ties, over many batches."""
+    r = random.Random(2)
+    rows = [(r.choice([1, 1, 1, 2, None]), r.randint(0, 60_000), k) for k in range(30_000)]
+    df = spark.createDataFrame(rows, "key bigint, timestamp_us bigint, ordinal bigint").repartition(7)
+    until, want = {}, {}
+    for key, t, k in sorted(rows, key=lambda x: x[1:]):
+        want[k] = t >= until.get(key, -1)
+        if want[k]:
+            until[key] = t + 50
+    assert {x["ordinal"]: x["fetched"] for x in stats.single_flight(df, 50).collect()} == want
+
+
+def test_quantiles_and_medians_are_elements(spark):
+    r = random.Random(5)
+    rows = [(g, r.choice([r.randint(-50, 50), r.randint(-(10**9), 10**9)])) for g in (1, 2, 3) for _ in range(g * 137)] + [(4, 9), (5, None)]
+    df = spark.createDataFrame(rows, "g int, v bigint")
+    got = {(x["g"], x["quantile"]): x["value"] for x in stats.lower_quantiles(df, "v", [0.0, 0.5, 0.99, 1.0], "g").collect()}
+    medians = {x["g"]: x["m"] for x in df.groupBy("g").agg(stats.lower_median("v").alias("m")).collect()}
+    for g in (1, 2, 3, 4):
+        v = sorted(x for k, x in rows if k == g)
+        assert all(got[g, q] == v[int(q * (len(v) - 1))] for q in (0.0, 0.5, 0.99, 1.0)) and medians[g] == v[(len(v) - 1) // 2]
+    assert len(got) == 16 and stats.lower_quantiles(df.limit(0), "v", [0.5], "g").count() == 0
+
+
+def test_one_of_many_publishers_wins(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    r = registry.Registry(str(tmp_path))
+
+    def publish(k):
+        body = b"model %d" % k
+        try:
+            return r.publish(registry.describe(body, "v1", 60), body), body
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [x for x in pool.map(publish, range(40)) if x]
+    assert len(won) == 1 and r.get("v1")[1] == won[0][1] and sorted(os.listdir(tmp_path)) == ["v1.meta", "v1.model"]
+    body = b"after a broken attempt"
+    (tmp_path / "v2.model").write_bytes(body)
+    assert r.publish(registry.describe(body, "v2", 60), body) == "v2"
+    for name in ("a.b", ".a", "a/b", "a\\b", ""):
+        assert "bare name" in registry.problem(registry.describe(body, name, 60), body)
+
+
 def test_registry(tmp_path):
     r = registry.Registry(str(tmp_path))
     body = b"tree" * 100
@@ -402,12 +471,12 @@ def test_version_names_sort_as_times():
     assert registry.version_for(0.0) == "19700101T000000000Z" and registry.version_for(1.5) < registry.version_for(2)
 
 
-@pytest.mark.parametrize(("text", "ns"), [("1h30m", 5400 * 10**9), ("1.5s", 1_500_000_000), ("+2us", 2000), ("-1ms", -1_000_000), ("1µs", 1000), ("1μs", 1000), ("0", 0), (".5s", 500_000_000), ("1.s", 10**9), ("1.9999999999ns", 1)])
+@pytest.mark.parametrize(("text", "ns"), [("1h30m", 5400 * 10**9), ("1.5s", 1_500_000_000), ("+2us", 2000), ("-1ms", -1_000_000), ("1µs", 1000), ("1μs", 1000), ("0", 0), (".5s", 500_000_000), ("1.s", 10**9), ("1.9999999999ns", 1), ("-9223372036854775808ns", -(2**63)), ("9223372036854775807ns", 2**63 - 1)])
 def test_durations(text, ns):
     assert S.duration_ns(text) == ns
 
 
-@pytest.mark.parametrize("text", ["", "1", "s", ".s", "1d", "1 s", "1s ", "--1s", "1e3s", "9999999999h", "1h30"])
+@pytest.mark.parametrize("text", ["", "1", "s", ".s", "1d", "1 s", "1s ", "--1s", "1e3s", "9999999999h", "1h30", "9223372036854775808ns"])
 def test_refused_durations(text):
     with pytest.raises(ValueError):
         S.duration_ns(text)
