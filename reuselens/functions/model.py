@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import Column
@@ -35,14 +35,20 @@ class Model:
 
     def raw(self, x: list[float]) -> float:
         """Sum over trees in order, in single precision (M7)."""
-        total = np.float32(0)
-        x = [np.float32(v) for v in x]
-        for t in self.trees:
-            k = 0 if t.feature else -1
+        total, single = 0.0, np.float32
+        x = np.asarray(x, single).tolist()
+        for start, feature, threshold, left, right, leaf in self._rounded:
+            k = start
             while k >= 0:
-                k = t.left[k] if x[t.feature[k]] <= np.float32(t.threshold[k]) else t.right[k]
-            total = np.float32(total + np.float32(t.leaf[~k]))
-        return float(total)
+                k = left[k] if x[feature[k]] <= threshold[k] else right[k]
+            total = float(single(total + leaf[~k]))  # a sum of two singles, rounded from double, is their sum in single
+        return total
+
+    @cached_property
+    def _rounded(self) -> list[tuple]:
+        """The trees with numbers of single precision, as Python's own."""
+        single = lambda v: np.asarray(v, np.float32).tolist()
+        return [(0 if t.feature else -1, t.feature, single(t.threshold), t.left, t.right, single(t.leaf)) for t in self.trees]
 
     def score(self, x: list[float]) -> float:
         """A probability for binary objectives, else the raw sum (M8)."""

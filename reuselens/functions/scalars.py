@@ -146,9 +146,10 @@ def zipf_requests(spark, requests: int, keyspace: int, exponent: float = 1.1, se
     def draw(batches):
         cumulative = np.cumsum((1.0 + np.arange(keyspace)) ** -exponent)
         for pdf in batches:
-            u = (pdf["u"].to_numpy("int64").astype("uint64") >> np.uint64(11)).astype("float64") / float(1 << 53)
+            u = pdf["u"].to_numpy("float64") / float(1 << 52)
             rank = np.searchsorted(cumulative, u * cumulative[-1], side="right").clip(0, keyspace - 1)
             yield pd.DataFrame({"pos": pdf["pos"], "key": [f"key-{k}" for k in rank], "rank": rank})
 
-    rows = spark.range(1, requests + 1).select(F.col("id").alias("pos"), F.xxhash64("id", F.lit(seed)).alias("u"))
+    digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
+    rows = spark.range(1, requests + 1).select(F.col("id").alias("pos"), F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").alias("u"))
     return rows.mapInPandas(draw, "pos bigint, key string, rank bigint")

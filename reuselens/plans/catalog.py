@@ -325,6 +325,10 @@ def _vnodes_sql(nodes: list[str], replicas: int = 64, name: str = "v") -> str:
     return _VNODES.format(h=sql_hash("(node || '#' || replica)"), n=", ".join(f"'{n}'" for n in nodes), r=replicas).replace("v AS", f"{name} AS", 1)
 
 
+#: The first node that has room, or the home.
+_PICK = "coalesce(list_filter(x.prefs, lambda n: a.loads[n] < CAST(floor((list_sum(a.loads) + 1) / 4 * 1.25) AS BIGINT) + 1)[1], x.prefs[1])"
+
+
 def _placed_sql(ring_name: str) -> str:
     return f"SELECT key, coalesce(arg_min(v.node, v.h), (SELECT arg_min(node, h) FROM {ring_name})) AS node FROM c LEFT JOIN {ring_name} AS v ON v.h >= c.h GROUP BY key"
 
@@ -358,7 +362,16 @@ def ring_moved(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(F.count("*").alias("keys"), F.count_if(moved).alias("moved"), F.count_if(moved & (F.col("after") != "node-e")).alias("moved_elsewhere"))
 
 
-@query()
+# a fold: nodes by the distance of their first virtual node; a request is done a hundred positions later
+@query(f"""WITH {PLACED}, {_vnodes_sql(NODES)}, k AS (SELECT key, {sql_hash("('key-' || key)")} AS h FROM (SELECT DISTINCT key FROM p)),
+o AS (SELECT key, node, min(CASE WHEN v.h >= k.h THEN CAST(v.h AS HUGEINT) - CAST(k.h AS HUGEINT) ELSE CAST(v.h AS HUGEINT) - CAST(k.h AS HUGEINT) + 18446744073709551616::HUGEINT END) AS d FROM k CROSS JOIN v GROUP BY key, node),
+w AS (SELECT key, list(CAST(list_position({NODES!r}, node) AS BIGINT) ORDER BY d) AS prefs FROM o GROUP BY key),
+f AS (SELECT list(pos ORDER BY pos) AS ps, list(key ORDER BY pos) AS ks, list_reduce(list({{'p': pos, 'prefs': prefs, 'loads': []::BIGINT[], 'picked': []::BIGINT[], 'after': []::BIGINT[]}} ORDER BY pos),
+  lambda a, x: {{'p': x.p, 'prefs': x.prefs,
+    'loads': list_transform([1, 2, 3, 4], lambda i: a.loads[i] + CASE WHEN {_PICK} = i THEN 1 ELSE 0 END - CASE WHEN x.p >= 100 AND a.picked[x.p - 99] = i THEN 1 ELSE 0 END),
+    'picked': list_append(a.picked, {_PICK}), 'after': list_append(a.after, a.loads[{_PICK}] + 1)}},
+  {{'p': 0::BIGINT, 'prefs': []::BIGINT[], 'loads': [0, 0, 0, 0]::BIGINT[], 'picked': []::BIGINT[], 'after': []::BIGINT[]}}) AS s FROM p JOIN w USING (key))
+SELECT 'all' AS "group", unnest(ps) AS pos, 'key-' || unnest(ks) AS key, {NODES!r}[unnest(s.picked)] AS node, unnest(s.after) AS load FROM f""")
 def ring_bounded_load(spark: SparkSession, sf: str) -> DataFrame:
     requests = trace.with_positions(trace.events_trace(spark, sf)).select("pos", F.concat(F.lit("key-"), F.col("key").cast("string")).alias("key"), (F.col("pos") + 100).alias("done_pos"))
     return ring.bounded_picks(requests, NODES, 64)
@@ -780,7 +793,9 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
-@query()
+@query("""WITH c AS (SELECT k, sum(pow(1.0 + k, -1.1)) OVER (ORDER BY k) AS upto FROM range(5000) AS r(k)),
+d AS (SELECT CAST('0x' || substr(md5(pos || ':1'), 1, 13) AS BIGINT) / 4503599627370496.0 * (SELECT max(upto) FROM c) AS x FROM range(1, 50001) AS r(pos))
+SELECT 'key-' || k AS key, count(*) AS requests FROM d ASOF JOIN c ON d.x < c.upto GROUP BY k""")
 def zipf_workload(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests per key of a generated workload (X10): its numbers come from Spark's own hash, so no SQL."""
+    """Requests per key of a generated workload."""
     return S.zipf_requests(spark, 50_000, 5_000, 1.1).groupBy("key").agg(F.count("*").alias("requests"))
