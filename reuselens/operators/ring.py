@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key, unsigned_order, with_hash
+from ..functions.scalars import http_status
 
 REPLICAS, LOAD_FACTOR = 256, 1.25
 #: Virtual nodes that a lookup may broadcast.
@@ -49,6 +50,15 @@ def lookup(keys: DataFrame, ring: DataFrame, key_hash: str = "key_hash", out: st
     return keys.withColumn(out, successor(F.col(key_hash), points))
 
 
+def routed(requests: DataFrame, ring: DataFrame, key: str = "key", key_hash: str = "key_hash") -> DataFrame:
+    """``requests`` with node and status (J10): an empty key is refused, and so is any other while there are no nodes."""
+    empty = F.coalesce(F.col(key), F.lit("")) == ""
+    if ring.isEmpty():
+        return requests.withColumn("node", F.lit(None).cast("string")).withColumn("status", http_status(F.when(empty, "InvalidArgument").otherwise("Unavailable")))
+    out = lookup(requests, ring, key_hash)
+    return out.withColumn("node", F.when(~empty, F.col("node"))).withColumn("status", F.when(empty, http_status(F.lit("InvalidArgument"))).otherwise(200))
+
+
 def lookup_join(keys: DataFrame, ring: DataFrame, key_hash: str = "key_hash", out: str = "node", cells: int = 1 << 12) -> DataFrame:
     """The same for rings of any size: keys and virtual nodes meet by the leading bits of their hash; a key whose cell has no
     virtual node after it takes the first of a later cell."""

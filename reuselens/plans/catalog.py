@@ -362,6 +362,15 @@ def ring_moved(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(F.count("*").alias("keys"), F.count_if(moved).alias("moved"), F.count_if(moved & (F.col("after") != "node-e")).alias("moved_elsewhere"))
 
 
+@query(f"""WITH c AS (SELECT key, {sql_hash("key")} AS h, n FROM (SELECT CASE WHEN event_id % 17 = 0 THEN '' ELSE 'key-' || user_id END AS key, count(*) AS n FROM events GROUP BY 1)), {_vnodes_sql(NODES)}, p AS ({_placed_sql('v')})
+SELECT CASE WHEN key <> '' THEN node END AS node, CASE WHEN key <> '' THEN 200 ELSE 400 END AS status, CAST(sum(n) AS BIGINT) AS requests FROM c JOIN p USING (key) GROUP BY 1, 2""")
+def request_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests by node, and those that are refused for an empty key."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    keys = e.select(F.when(F.col("event_id") % 17 == 0, "").otherwise(F.concat(F.lit("key-"), F.col("user_id").cast("string"))).alias("key"))
+    return ring.routed(H.with_hash(keys), ring.vnodes(spark, NODES, 64)).groupBy("node", "status").agg(F.count("*").alias("requests"))
+
+
 # a fold: nodes by the distance of their first virtual node; a request is done a hundred positions later
 @query(f"""WITH {PLACED}, {_vnodes_sql(NODES)}, k AS (SELECT key, {sql_hash("('key-' || key)")} AS h FROM (SELECT DISTINCT key FROM p)),
 o AS (SELECT key, node, min(CASE WHEN v.h >= k.h THEN CAST(v.h AS HUGEINT) - CAST(k.h AS HUGEINT) ELSE CAST(v.h AS HUGEINT) - CAST(k.h AS HUGEINT) + 18446744073709551616::HUGEINT END) AS d FROM k CROSS JOIN v GROUP BY key, node),

@@ -313,6 +313,49 @@ def test_scan_resistance():
     assert left["s3fifo"] > left["lru"]
 
 
+def test_model_holder():
+    holder = simulator.ModelHolder()
+    assert (holder.model, holder.version, holder.boundary_us) == (None, "", 0)
+    chain = M.Model((M.Tree((3,), (1.5,), (-1,), (-2,), (1.0, 0.0)),), len(FEATURES))
+    shard = simulator.Shard(400, simulator.policy("learned", 400, 1 << 30, holder))
+    for k in (1, 2, 3, 4):
+        shard.insert(k, 100, k)
+    for now, k in enumerate((1, 1, 2, 2, 3), 10):
+        shard.get(k, now)
+    shard.entries[4].last_access = 99
+    for model, boundary in ((M.Model((), 2), 60), (chain, 0)):
+        with pytest.raises(ValueError, match="model v0"):
+            holder.store(model, "v0", boundary)
+    assert holder.version == "" and shard.insert(8, 100, 100)[1] == [1]  # recency, as nothing was taken
+    shard.entries[8].last_access, shard.entries[8].accesses = 100, 5
+    holder.store(chain, "v1", 60)
+    assert (holder.version, holder.boundary_us) == ("v1", 60) and shard.insert(9, 100, 100)[1] == [4]
+
+
+def test_routing_without_nodes(spark):
+    keys = H.with_hash(spark.createDataFrame([("a",), ("",), (None,)], "key string"))
+    got = ring.routed(keys, ring.vnodes(spark, [])).collect()
+    assert sorted((x["key"] or "", x["node"], x["status"]) for x in got) == [("", None, 400), ("", None, 400), ("a", None, 503)]
+
+
+def test_settings(monkeypatch):
+    said = []
+    monkeypatch.delenv("LENS_TEST", raising=False)
+    assert S.setting("LENS_TEST", 3, int) == 3
+    monkeypatch.setenv("LENS_TEST", "5")
+    assert S.setting("LENS_TEST", 3, int) == 5
+    monkeypatch.setenv("LENS_TEST", "x")
+    assert S.setting("LENS_TEST", 3, int, warn=said.append) == 3 and "LENS_TEST" in said[0]
+    with pytest.raises(ValueError):
+        S.setting("LENS_TEST", 3, int, strict=True)
+
+
+def test_sources_and_clamped_ratios(spark):
+    rows = spark.createDataFrame([(0, 1.0, 0.0), (1, 3.0, 2.0), (2, 0.0, -1.0), (9, 1.0, 4.0)], "c int, a double, b double")
+    got = rows.select(S.source_name(F.col("c")).alias("s"), S.clamped_ratio(F.col("a"), F.col("b"), 0.5).alias("r")).collect()
+    assert [tuple(x) for x in got] == [("unknown", 2.0), ("cache", 1.5), ("origin", 0.0), ("unknown", 0.25)]
+
+
 def test_ring_properties(spark):
     keys = H.with_hash(spark.range(20_000).select(F.concat(F.lit("key-"), F.col("id").cast("string")).alias("key")))
     names = [f"n{k}" for k in range(4)]
