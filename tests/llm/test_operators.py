@@ -655,3 +655,24 @@ def test_whole_long_licenses_are_known():
 def test_licenses_are_native(spark):
     plan = license_scan.query(documents(spark, []))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- all -------------------------------------------------------------------------------------------------------------
+
+
+def test_operators_over_mostly_empty_partitions(spark):
+    """Far more partitions than rows."""
+    r = random.Random(14)
+    texts = [(k, prose(r, 70) + (" you idiot" if k % 3 == 0 else "")) for k in range(12)]
+    docs = documents(spark, texts).repartition(48)
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 0)) for k in range(12)], LABELS).repartition(48)
+    bench = spark.createDataFrame([(1, texts[4][1])], ITEMS).repartition(48)
+    pages = spark.createDataFrame([(k, f"http://a.com/{k}", link("http://a.net/x") + "<body><article><p>Some words here.</p></article>") for k in range(5)], PAGES).repartition(48)
+    chats = spark.createDataFrame([(k, t, "user" if t % 2 == 0 else "assistant", "hi") for k in range(4) for t in range(2)], "conv_id bigint, turn int, role string, text string").repartition(48)
+    found = {
+        "op1": toxicity.query(docs, labels), "op2": quality_rules.query(docs), "op3": chat.query(chats), "op4": sentencepiece_bpe.digests(docs, tokenizer_path()), "op5": url_filter.query(pages),
+        "op6": decontamination.query(docs, bench), "op7": html_extract.query(pages), "op8": quality_classifier.query(docs, labels), "op9": near_dedup.query(docs), "op10": license_scan.query(docs),
+    }
+    counts = {k: len(df.collect()) for k, df in found.items()}
+    assert counts == dict.fromkeys(("op1", "op2", "op4", "op6", "op8", "op9", "op10"), 12) | {"op3": 5, "op5": 5, "op7": 5}
+    assert found["op6"].where("n_hit > 0").count() == 1
