@@ -17,6 +17,7 @@ NANOS = {"ns": 1, "us": 1_000, "µs": 1_000, "μs": 1_000, "ms": 1_000_000, "s":
 SIZES = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "kib": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "mib": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "gib": 1 << 30, "t": 1 << 40, "tb": 1 << 40, "tib": 1 << 40}
 HTTP_OF = {"InvalidArgument": 400, "NotFound": 404, "ResourceExhausted": 429, "Unavailable": 503, "DeadlineExceeded": 504, "Canceled": 499}
 SOURCES = {0: "unknown", 1: "cache", 2: "origin"}
+UNITS = ("KiB", "MiB", "GiB", "TiB", "PiB")
 MAX_INT64, MAX_UINT32 = (1 << 63) - 1, (1 << 32) - 1
 
 _PART = re.compile(r"(\d*)(?:\.(\d*))?(ns|us|µs|μs|ms|s|m|h)")
@@ -93,11 +94,17 @@ def clamped_ratio(num: Column, den: Column, least: float = 1e-9) -> Column:
     return num / F.greatest(den.cast("double"), F.lit(least))
 
 
-def human_bytes(n: Column) -> Column:
-    """One decimal and a unit of 1024 steps; whole bytes below."""
+def human_bytes(n: Column, units: tuple[str, ...] = UNITS) -> Column:
+    """One decimal and a unit of 1024 steps, the last one without end; whole bytes below.
+
+    Rounded as printf does: the half of the double's exact value to even. Whole part and rest times ten are exact.
+    """
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
-        out = F.when(n >= 1 << 10 * k, F.concat(F.format_string("%.1f", F.bround(n / float(1 << 10 * k), 1)), F.lit(f" {unit}"))).otherwise(out)
+    for k, unit in enumerate(units, 1):
+        v = n / float(1 << 10 * k)
+        tenths = F.rint((v - F.floor(v)) * 10).cast("int")
+        text = F.concat((F.floor(v) + F.when(tenths == 10, 1).otherwise(0)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = F.when(n >= 1 << 10 * k, text).otherwise(out)
     return out
 
 

@@ -540,6 +540,36 @@ def test_sizes_and_limits():
             S.boundary_seconds(b)
 
 
+def test_human_bytes_round_exactly(spark):
+    r, units = random.Random(7), ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
+    numbers = [0, 1, -5, 1023, 1 << 20, (1 << 30) - 1, 1280, 1792, (1 << 40) - 1, 5_010_254_585_449_677, (1 << 63) - 1, *(r.randrange(1 << e, 2 << e) for e in range(10, 63))]
+    numbers += [((r.randrange(1, 4000) * 20 + r.randrange(1, 20, 2)) << 10 * k) // 20 + d for k in range(1, 6) for _ in range(100) for d in (-1, 0, 1)]  # at and beside half tenths
+    want = []
+    for n in numbers:
+        k = max((k for k in range(6) if n >= 1 << 10 * k), default=0)
+        want.append(f"{n / (1 << 10 * k):.1f} {units[k]}" if k else f"{n} B")
+    rows = spark.createDataFrame([*enumerate(numbers), (len(numbers), None)], "i int, n bigint")
+    assert [x["h"] for x in rows.orderBy("i").select(S.human_bytes(F.col("n")).alias("h")).collect()] == [*want, None]
+
+
+def test_human_bytes_takes_large_keys(spark, tmp_path):
+    """Against its SQL, beyond 1 TiB and 2^51 too."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from reuselens.plans import catalog
+
+    r = random.Random(7)
+    keys = [0, 5, 32, 1000, 160_010, 1_199_999, *(r.randrange(6_000_000, 429_496_729) for _ in range(3000))]
+    sizes = [None if k == 1000 else r.randint(1, 50) for k in keys]
+    pq.write_table(pa.table({"p_partkey": pa.array(keys, pa.int64()), "p_size": pa.array(sizes, pa.int32())}), tmp_path / "part.parquet")
+    engine = duckdb.connect()
+    engine.execute(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet'")
+    got = catalog.QUERIES["human_bytes"](spark, str(tmp_path)).collect()
+    assert {tuple(x) for x in got} == set(engine.execute(catalog.SQL["human_bytes"]).fetchall()) and len(got) == len(keys)
+
+
 def test_stats(spark):
     columns = "node string, seq bigint, " + ", ".join(f"{c} bigint" for c in (*stats.COUNTERS, *stats.GAUGES)) + ", policy string, model_version string"
     row = lambda node, seq, hits, ns, n, v="v1": (node, seq, hits, 1, 10, 10, 0, 0, ns, n, 1, 1, 1, "lrb", v)
